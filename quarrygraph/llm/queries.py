@@ -6,20 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarrygraph.llm.decontaminate import op8_decontamination
 from quarrygraph.llm.language_id import op6_language_id
 from quarrygraph.llm.media import op4_media
 from quarrygraph.llm.packing import op3_packing
 from quarrygraph.llm.sharding import op10_sharding
 from quarrygraph.llm.simhash import op7_simhash
+from quarrygraph.llm.suffix_dedup import op1_suffix_dedup
 from quarrygraph.llm.token_output import op9_token_output
+from quarrygraph.llm.toxicity import op2_toxicity
 from quarrygraph.llm.url_filters import op5_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
     "op4_media": op4_media,
     "op5_url_filters": op5_url_filters,
     "op6_language_id": op6_language_id,
     "op7_simhash": op7_simhash,
+    "op8_decontamination": op8_decontamination,
     "op9_token_output": op9_token_output,
     "op10_sharding": op10_sharding,
 }
