@@ -92,12 +92,12 @@ def rich_synonyms(spark, d):
 
 
 @query(
-    "SELECT l_returnflag AS context_id, l_suppkey, min(l_orderkey) AS chunk_id, arg_min(l_partkey, struct_pack(a := l_orderkey, b := l_linenumber)) AS cluster_id, "
+    "SELECT l_returnflag AS context_id, l_suppkey, min(l_orderkey) AS chunk_id, arg_min(l_partkey, struct_pack(a := l_orderkey, b := l_linenumber, c := l_partkey)) AS cluster_id, "
     "array_to_string(list_sort(list_distinct(list(l_linestatus))), '. ') AS description FROM lineitem GROUP BY 1, 2"
 )
 def merge_concepts(spark, d):
     return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("context_id"), "l_suppkey").agg(
-        F.min("l_orderkey").alias("chunk_id"), F.min_by("l_partkey", F.struct("l_orderkey", "l_linenumber")).alias("cluster_id"), F.array_join(F.array_sort(F.collect_set("l_linestatus")), ". ").alias("description")
+        F.min("l_orderkey").alias("chunk_id"), F.min_by("l_partkey", F.struct("l_orderkey", "l_linenumber", "l_partkey")).alias("cluster_id"), F.array_join(F.array_sort(F.collect_set("l_linestatus")), ". ").alias("description")
     )
 
 
@@ -125,7 +125,7 @@ HYBRID = (
     SCORED + ", b AS (SELECT node_1, node_2, context_id, CAST(chunk_id AS VARCHAR) chunk_id, edge, chunk_id * 10 + line ord, CAST(NULL AS DOUBLE) score FROM e "
     "UNION ALL SELECT node_1, node_2, context_id, unnest(string_split(chunk_id, ',')), NULL, NULL, implicit_score FROM s), "
     "h AS (SELECT least(node_1, node_2) u, greatest(node_1, node_2) v, list_sort(list_distinct(list(chunk_id))) chunk_ids, list_sort(list_distinct(list(context_id))) context_ids, "
-    "arg_min(edge, ord) relation, max(score) implicit_score, bool_or(edge IS NOT NULL) is_explicit FROM b GROUP BY 1, 2)"
+    "arg_min(edge, CASE WHEN edge IS NULL THEN NULL ELSE struct_pack(a := ord, b := edge) END) relation, max(score) implicit_score, bool_or(edge IS NOT NULL) is_explicit FROM b GROUP BY 1, 2)"
 )
 
 
