@@ -67,3 +67,93 @@ def test_oracle(spark, name):
     want = db.execute(f"SELECT {', '.join(columns)} FROM ({ORACLE_SQL[name]})").fetchall()
     plain = lambda rows: sorted(repr(tuple(float(v) if v.__class__.__name__ == "Decimal" else v for v in r)) for r in rows)
     assert plain(df.select(*columns).collect()) == plain(want)
+
+
+def test_corpora(spark, tmp_path):
+    import json
+
+    from quarrygraph.functions import parsing
+    from quarrygraph.sources import corpora
+
+    (tmp_path / "a.json").write_text(json.dumps([
+        {"question": "q0", "answer": " x ", "context": [["T", ["One. ", "Two."]], ["T", ["again"]], ["bad"]]},
+        {"question": "q1", "answer": "y", "context": [["U", ["Three."]]]},
+    ]))
+    items = corpora.read_items(spark, str(tmp_path / "a.json"), corpora.PAIRS_DDL)
+    chunks = corpora.number_chunks(corpora.paired_paragraphs(items), parsing.splitter(3, 0)).orderBy("chunk_id").collect()
+    assert [(r.context_id, r.chunk_id, r.text) for r in chunks] == [(0, 0, "T information: One."), (0, 1, "T information: Two."), (1, 2, "U information: Three.")]
+    assert [tuple(r) for r in corpora.qa_pairs(items).orderBy("context_id").collect()] == [("q0", "x", 0), ("q1", "y", 1)]
+    (tmp_path / "b.json").write_text(json.dumps([{"question": "q", "answer": "a", "question_decomposition": [{"answer": "b"}, {"answer": "c"}], "paragraphs": [{"title": "T"}]}]))
+    items = corpora.read_items(spark, str(tmp_path / "b.json"), corpora.PARAGRAPHS_DDL)
+    assert corpora.qa_pairs(items).first()["answer"] == "c" and corpora.listed_paragraphs(items).first()["text"] == ""
+    (tmp_path / "c.json").write_text(json.dumps({"Questions": [{"RawQuestion": "q", "Parses": [{"Answers": [{"EntityName": "B"}, {"EntityName": None, "AnswerArgument": "A"}]}]}]}))
+    assert tuple(corpora.parsed_questions(spark, str(tmp_path / "c.json")).first()) == ("q", "A, B")
+    df = spark.createDataFrame([(1, 'a "b"\nc|d', ["x"]), (2, "None", [])], "id long, t string, l array<string>")
+    corpora.write_delimited(df, str(tmp_path / "d"), "id")
+    assert [(r.id, r.t, r.l) for r in corpora.read_delimited(spark, str(tmp_path / "d")).orderBy("id").collect()] == [("1", 'a "b"\nc|d', '["x"]'), ("2", "None", "[]")]
+    calls = []
+    for _ in range(2):
+        assert corpora.materialized(spark, str(tmp_path / "e"), lambda: calls.append(1) or spark.range(3)).count() == 3
+    assert calls == [1]
+
+
+def test_parsing():
+    from quarrygraph.functions import parsing
+
+    assert parsing.decide("Final Answer: **Yes, it is.**")["answer"] == "yes"
+    assert parsing.decide("Final Answer: Norway.\n\nmore")["answer"] == "Norway"
+    assert parsing.decide("Final Answer: not found", ["a", "b", "c", "d"]) == {"is_final": False, "answer": "", "relevant_nodes": [], "next_nodes": ["a", "b", "c"]}
+    got = parsing.decide("Relevant Nodes: [Ada; 'Bob']\nNext Hop: [Ed Wod; NOWHERE XYZ]", ["Ed Wood", "Ada"])
+    assert got["relevant_nodes"] == ["Ada", "Bob"] and got["next_nodes"] == ["Ed Wood"]
+    assert parsing.repair_json('```json\n[{"a": 1} {"a": 2}]\n```') == [{"a": 1}, {"a": 2}]
+    assert parsing.repair_json("{'a': 1}") == [{"a": 1}] and parsing.repair_json("no") is None and parsing.repair_json('[{"a": 1}, {"b": ') == [{"a": 1}]
+    text = "one two three. four five six. seven eight"
+    parts = parsing.split_text(text, 5, 0)
+    assert " ".join(parts) == text and all(parsing.word_count(p) <= 5 for p in parts)
+    assert parsing.split_text("a b c d e f", 3, 1) == ["a b c", "c d e", "e f"]
+
+
+def test_persons(spark):
+    from quarrygraph.operators.persons import generations_apart, merge_persons
+
+    rows = [("0", 1, "Ed Wood", "Person", "Ed Wood"), ("0", 2, "Edward", "Person", "Edward"), ("0", 3, "Sir Ed Wood", "Person", "Sir Ed Wood"), ("1", 4, "Ed", "Person", "Ed"), ("0", 5, "Ed", "Place", "Ed")]
+    got = {r.ord: r.standard for r in merge_persons(spark.createDataFrame(rows, "context_id string, ord int, entity string, category string, standard string")).collect()}
+    assert got == {1: "Sir Ed Wood", 2: "Edward", 3: "Sir Ed Wood", 4: "Ed", 5: "Ed"}
+    assert one(spark, generations_apart(F.lit("A Jr."), F.lit("A Sr"))) and not one(spark, generations_apart(F.lit("A Jr."), F.lit("A")))
+
+
+def test_retrieval(spark):
+    from quarrygraph.operators import retrieval
+
+    edges = spark.createDataFrame([("a", "b", ["1"], ["x"], True, None), ("b", "c", ["2"], ["x", "y"], True, None), ("c", "d", ["3"], ["y"], True, 0.5)], "u string, v string, chunk_ids array<string>, context_ids array<string>, is_explicit boolean, implicit_score double")
+    chunks = spark.createDataFrame([(1, "x", [1.0, 0.0]), (2, "x", [0.8, 0.6]), (3, "y", [0.0, 1.0])], "chunk_id long, context_id string, embedding array<double>")
+    queries = spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, q array<double>")
+    linked = spark.createDataFrame([(7, "a", 1), (7, "d", 2), (8, "zz", 1)], "query_id long, entity string, rank int")
+    assert {(r.query_id, r.context_id, r.entity) for r in retrieval.route_contexts(linked, edges, chunks, queries).collect()} == {(7, "x", "a"), (8, None, "zz")}
+    vectors = spark.createDataFrame([("b", [1.0, 0.0], None)], "node string, vec_entity array<double>, vec_desc array<double>")
+    seeds, active = spark.createDataFrame([(7, "a")], "query_id long, node string"), spark.createDataFrame([(7, "x")], "query_id long, context_id string")
+    walked = retrieval.walk(seeds, edges, vectors, queries, active, (0.15, 0.30, 0.55))
+    assert [(r.hop, r.u, r.v, round(r.weight, 3)) for r in walked.orderBy("hop").collect()] == [(1, "a", "b", 0.395), (2, "b", "c", 0.275)]
+    found = retrieval.evidence(walked.where("hop = 1"), seeds.union(spark.createDataFrame([(7, "b")], "query_id long, node string")), edges, chunks, queries, active)
+    assert [(r.chunk_id, r.label, r["rank"]) for r in found.orderBy("rank").collect()] == [("1", "Path Evidence", 1), ("2", "Context", 2)]
+    ranked = retrieval.fallback_rank(spark.createDataFrame([(7, 2, 3.0)], "query_id long, id long, score double"), spark.createDataFrame([(7, 1, 0.9), (7, 2, 0.5), (7, 3, 0.1)], "query_id long, id long, score double"))
+    assert [(r.id, round(r.score, 4)) for r in ranked.orderBy("rank").collect()] == [(2, round(0.3 + 0.7 / 3, 4)), (1, round(0.7 * 2 / 3, 4)), (3, 0.0)]
+
+
+def test_intents_and_providers(spark):
+    import numpy as np
+
+    from quarrygraph.operators import intents, providers
+
+    f = intents.structure(F.lit("compare the size of A or the part of B"))
+    assert [one(spark, c) for c in f.values()] == [2, 0, 2.0, 0.5]
+    assert one(spark, intents.strategy(F.lit("(Relational, P=0.9) -> Agent-2"))) == "Agent-2" and one(spark, intents.intent_of(F.lit("(Relational, P=0.9)"))) == "Reasoning"
+    w = {"w1": np.eye(2), "b1": np.zeros(2), "gamma": np.ones(2), "beta": np.zeros(2), "mean": np.zeros(2), "var": np.ones(2), "w2": np.eye(2), "b2": np.zeros(2)}
+    assert abs(sum(one(spark, intents.network(w)(F.array(F.lit(1.0), F.lit(-3.0))))) - 1) < 1e-9
+    rows = spark.createDataFrame([([float(i % 2), 1.0], i % 2) for i in range(40)], "features array<double>, label int")
+    assert intents.train(rows).numClasses == 2
+    rep = {r.label: r for r in intents.class_report(spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b")], "y string, p string"), "y", "p").collect()}
+    assert rep["a"].recall == 0.5 and rep["a"].precision == 1.0 and rep["b"].precision == 0.5
+    got = {r.id: (r.result, r.status) for r in providers.map_rows(spark.range(3), lambda r: {0: "x", 1: None}[int(r["id"])], retries=2, delay=0.01).collect()}
+    assert got[0] == ("x", "ok") and got[1] == (None, "empty") and got[2][1].startswith("KeyError")
+    assert abs(sum(x * x for x in one(spark, providers.hashing_embedding(16)(F.lit("a b c")))) - 1) < 1e-9
