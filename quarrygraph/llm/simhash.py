@@ -107,9 +107,10 @@ def block_links(nodes: DataFrame, masks: Sequence[tuple[int, ...]], max_distance
     Every fingerprint is dealt by each mask's bits; a block's members are compared with each other
     and verified by Hamming distance.  A block streams through its task sorted by fingerprint and at
     most ``LIGHT`` members are held.  Light blocks are compared whole and give a spanning forest of
-    their links.  Beyond ``LIGHT`` members, each further member is compared with those held and its
-    predecessor and is also returned as ``(rep, null, fp)`` for :func:`one_bit_links`, which is exact
-    for distances up to 2.
+    their links.  Beyond ``LIGHT`` members, each further member is compared with a hub of those held
+    and with its batch, and all members are also returned as ``(rep, null, fp, key, rest)``: ``rest``
+    says that a member was not linked to the hub.  :func:`one_bit_links` (distances up to 2) or
+    :func:`crowded_links` (any distance) then finds the links that are missing, exactly.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +131,7 @@ def block_links(nodes: DataFrame, masks: Sequence[tuple[int, ...]], max_distance
             for a, b in itertools.pairwise(cuts):
                 if keys[a] != key:
                     held.close()
-                    key = keys[a]
+                    key = held.key = keys[a]
                 if b - a == 1 and not held.size and b < len(keys):
                     continue  # alone in its block
                 held.add(reps[a:b], fps[a:b])
@@ -139,10 +140,12 @@ def block_links(nodes: DataFrame, masks: Sequence[tuple[int, ...]], max_distance
         yield from held.take()
 
     dealt = nodes.select("rep", "fp").mapInArrow(deal, "key long, rep long, fp binary")
-    return dealt.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(compare, "src long, dst long, fp binary")
+    return dealt.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(compare, "src long, dst long, fp binary, key long, rest boolean")
 
 
-LINKS = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("fp", pa.binary())])
+#: Members of a crowded block that further members are compared with at once.
+HUB = 256
+LINKS = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("fp", pa.binary()), ("key", pa.int64()), ("rest", pa.bool_())])
 
 
 class _Block:
@@ -150,41 +153,50 @@ class _Block:
 
     def __init__(self, max_distance: int):
         self.most, self.size = max_distance, 0
+        self.key = 0
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.kept: tuple[np.ndarray, np.ndarray] | None = None
+        self.hub: tuple[np.ndarray, np.ndarray] | None = None
         self.src: list[np.ndarray] = []
         self.dst: list[np.ndarray] = []
-        self.heavy: list[tuple[np.ndarray, np.ndarray]] = []
+        self.heavy: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
 
     def add(self, reps: np.ndarray, fps: np.ndarray) -> None:
-        if self.kept is None:
-            self.parts.append((reps, fps))
-            self.size += len(reps)
-            if self.size > LIGHT:
-                self._compare()
-                self.kept = tuple(np.concatenate(x)[:LIGHT] for x in zip(*self.parts, strict=True))
-                extra = tuple(np.concatenate(x)[LIGHT:] for x in zip(*self.parts, strict=True))
-                self.heavy += [self.kept, extra]
-                self.parts = []
-        else:
-            self.size += len(reps)
-            self.heavy.append((reps, fps))
-            for at in range(0, len(reps), LIGHT):
-                r, f = np.concatenate([self.kept[0][:64], reps[at : at + LIGHT]]), np.concatenate([self.kept[1][:64], fps[at : at + LIGHT]])
-                self._forest(r, f)
+        self.size += len(reps)
+        if self.hub is not None:
+            self._further(reps, fps)
+            return
+        self.parts.append((reps, fps))
+        if self.size > LIGHT:
+            reps, fps = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+            self.parts = []
+            labels = self._forest(reps[:LIGHT], fps[:LIGHT])
+            inside = labels == np.bincount(labels).argmax()  # the largest component
+            self.hub = tuple(x[:LIGHT][inside][:HUB] for x in (reps, fps))
+            self.heavy.append((self.key, reps[:LIGHT], fps[:LIGHT], ~inside))
+            self._further(reps[LIGHT:], fps[LIGHT:])
+
+    def _further(self, reps: np.ndarray, fps: np.ndarray) -> None:
+        n = len(self.hub[0])
+        for at in range(0, len(reps), LIGHT):
+            r, f = reps[at : at + LIGHT], fps[at : at + LIGHT]
+            labels = self._forest(np.concatenate([self.hub[0], r]), np.concatenate([self.hub[1], f]))
+            self.heavy.append((self.key, r, f, ~np.isin(labels[n:], labels[:n])))
 
     def _compare(self) -> None:
         if self.size > 1:
             reps, fps = (np.concatenate(x) for x in zip(*self.parts, strict=True))
             self._forest(reps, fps)
 
-    def _forest(self, reps: np.ndarray, fps: np.ndarray) -> None:
+    def _forest(self, reps: np.ndarray, fps: np.ndarray) -> np.ndarray:
+        """Adds links that span the components of these members; gives each member's component (its first member)."""
+        labels = np.arange(len(reps))
         words = np.ascontiguousarray(fps).view(np.uint64)
         if len(reps) == 2:
             if int(np.bitwise_count(words[0] ^ words[1]).sum()) <= self.most:
                 self.src.append(reps[:1])
                 self.dst.append(reps[1:])
-            return
+                labels[1] = 0
+            return labels
         waiting = np.ones(len(reps), dtype=bool)
         for first in range(len(reps)):
             if not waiting[first]:
@@ -195,27 +207,29 @@ class _Block:
                 i = front.pop()
                 rest = np.flatnonzero(waiting)
                 if not len(rest):
-                    return
+                    return labels
                 near = rest[np.bitwise_count(words[rest] ^ words[i]).sum(axis=1) <= self.most]
                 if len(near):
                     self.src.append(np.full(len(near), reps[i]))
                     self.dst.append(reps[near])
                     waiting[near] = False
+                    labels[near] = first
                     front += near.tolist()
+        return labels
 
     def close(self) -> None:
-        if self.kept is None:
+        if self.hub is None:
             self._compare()
-        self.parts, self.kept, self.size = [], None, 0
+        self.parts, self.hub, self.size = [], None, 0
 
     def take(self) -> Iterator[pa.RecordBatch]:
         if self.src:
             a, b = np.concatenate(self.src), np.concatenate(self.dst)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.binary())], schema=LINKS)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *(pa.nulls(len(a), t) for t in LINKS.types[2:])], schema=LINKS)
             self.src, self.dst = [], []
-        for reps, fps in self.heavy:
+        for key, reps, fps, rest in self.heavy:
             if len(reps):
-                yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.nulls(len(reps), pa.int64()), pa.array([f.tobytes() for f in fps], pa.binary())], schema=LINKS)
+                yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.nulls(len(reps), pa.int64()), pa.array([f.tobytes() for f in fps], pa.binary()), pa.array(np.full(len(reps), key), pa.int64()), pa.array(rest)], schema=LINKS)
         self.heavy = []
 
 
@@ -233,6 +247,32 @@ def one_bit_links(members: DataFrame, max_distance: int) -> DataFrame:
     return named.join(least, "between").select(F.col("rep").alias("src"), "dst").where("src <> dst").distinct()
 
 
+def crowded_links(members: DataFrame, max_distance: int) -> DataFrame:
+    """Links that join the members of crowded blocks to those that their hub did not reach, at any distance.
+
+    Members that the hub reached are one component, so only the others are compared with all of
+    their block.  Both sides are dealt into chunks of about ``LIGHT`` by a hash, each pair of chunks
+    is one bounded comparison, and a pair returns a spanning forest, not all of its pairs.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                both = {x["src"]: x["fp"] for x in row["some"] + row["others"]}
+                block = _Block(max_distance)
+                block._forest(np.array(list(both), dtype=np.int64), _as_matrix(pa.array(both.values(), pa.binary())))
+                yield from block.take()
+
+    chunks = F.ceil(F.col("n") / LIGHT)
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("rest").cast("long")).alias("n_rest")).where("n_rest > 0")
+    sized = members.select("key", "src", "fp", "rest").join(sizes, "key").withColumn("n_chunks", F.ceil(F.col("n_rest") / LIGHT))
+    packed = F.collect_list(F.struct("src", "fp"))  # about LIGHT of them
+    others = sized.groupBy("key", "n_chunks", F.pmod(F.xxhash64("src"), chunks).alias("part")).agg(packed.alias("others"))
+    some = sized.where("rest").groupBy("key", F.pmod(F.xxhash64("src", F.lit(1)), F.col("n_chunks")).alias("chunk")).agg(packed.alias("some"))
+    pairs = others.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chunks") - 1))).join(some, ["key", "chunk"])
+    return pairs.select("some", "others").mapInArrow(compare, "src long, dst long, fp binary, key long, rest boolean").select("src", "dst")
+
+
 def near_duplicates(df: DataFrame, words: int = 5, bits: int = 256, masks: Sequence[tuple[int, ...]] | None = None, max_distance: int = 40, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, fp, component_id)`` for every row.
 
@@ -248,10 +288,10 @@ def near_duplicates(df: DataFrame, words: int = 5, bits: int = 256, masks: Seque
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null")
     links = cut(block_links(nodes, masks, max_distance))
     edges = links.where("dst is not null").select("src", "dst")
-    if bits == 64 and max_distance in (0, 2):
-        heavy = links.where("dst is null")
-        if heavy.limit(1).count():
-            edges = edges.union(one_bit_links(heavy, max_distance))
+    heavy = links.where("dst is null")
+    if not heavy.isEmpty():
+        one_bit = bits == 64 and max_distance in (0, 2)
+        edges = edges.union(one_bit_links(heavy, max_distance) if one_bit else crowded_links(heavy, max_distance))
     labels = connected_components(edges)
     classes = nodes.join(labels, nodes.rep == labels.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return rows.join(classes, "fp", "left").select("doc_id", "fp", "component_id")

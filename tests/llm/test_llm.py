@@ -4,6 +4,8 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarrygraph.llm import decontaminate, language_id, media, packing, sharding, simhash, suffix_dedup, token_output, toxicity, url_filters
@@ -137,6 +139,7 @@ def test_simhash(spark, rows, light, monkeypatch):
     rng = random.Random(9)
     first = [rng.getrandbits(64) for _ in range(20)]
     fps = first + [f ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for f in first * 4]
+    monkeypatch.setattr(simhash, "LIGHT", light)  # workers get the module by reference, so crowded blocks are also built here
     nodes = spark.createDataFrame([(i, bytearray(f.to_bytes(8, "big"))) for i, f in enumerate(fps)], "rep long, fp binary")
     links = simhash.block_links(nodes, simhash.pigeonhole_masks(64, 5, 3), 2)
     edges = {(min(r.src, r.dst), max(r.src, r.dst)) for r in links.where("dst is not null").collect()}
@@ -152,6 +155,18 @@ def test_simhash(spark, rows, light, monkeypatch):
 
     want = classes({(a, b) for a in range(len(fps)) for b in range(a) if bin(fps[a] ^ fps[b]).count("1") <= 2})
     assert classes(edges) == want == classes(heavy)
+    # One crowded block: what its hub does not reach is found by the chunk pairs.
+    block, matrix = simhash._Block(2), np.frombuffer(b"".join(f.to_bytes(8, "big") for f in fps), np.uint8).reshape(-1, 8)
+    for at in range(0, len(fps), 7):
+        block.add(np.arange(at, min(at + 7, len(fps))), matrix[at : at + 7])
+    block.close()
+    out = pa.Table.from_batches(list(block.take()), simhash.LINKS).to_pylist()
+    found = {(r["src"], r["dst"]) for r in out if r["dst"] is not None}
+    if light == 4:
+        crowd = spark.createDataFrame([(r["src"], r["key"], bytearray(r["fp"]), r["rest"]) for r in out if r["dst"] is None], "src long, key long, fp binary, rest boolean")
+        assert crowd.count() == len(fps) and classes(found) != want
+        found |= {(r.src, r.dst) for r in simhash.crowded_links(crowd, 2).collect()}
+    assert classes(found) == want
 
 
 def test_near_duplicates(spark, rows):
