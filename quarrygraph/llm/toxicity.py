@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,8 +30,14 @@ class Model:
 
 
 def fit(rows: list[list[int]], grades: list[int], words: list[str], ridge: float = 0.0005, steps: int = 1500) -> Model:
-    """Proportional-odds fit by gradient steps with momentum (Adam); cuts are kept ascending as a first cut and positive gaps."""
-    n, k, v = len(rows), max(grades, default=0), len(words)
+    """Proportional-odds fit by gradient steps with momentum (Adam); cuts are kept ascending as a first cut and positive gaps.
+
+    Rows of equal features and grade are one row with a weight.
+    """
+    total, k, v = len(rows), max(grades, default=0), len(words)
+    counted = Counter((tuple(sorted(row)), grade) for row, grade in zip(rows, grades, strict=True))
+    rows, grades, n = [list(row) for row, _ in counted], [grade for _, grade in counted], len(counted)
+    weight = np.array(list(counted.values()), dtype=float) / max(1, total)
     if not n or not k or not v:
         return Model(tuple(words), (0.0,) * v, ())
     x = np.zeros((n, v))
@@ -38,7 +45,7 @@ def fit(rows: list[list[int]], grades: list[int], words: list[str], ridge: float
         x[i, found] = 1.0
     y = np.array(grades)
     above = (y[:, None] > np.arange(k)[None, :]).astype(float)
-    share = np.clip(above.mean(axis=0), 1e-3, 1 - 1e-3)
+    share = np.clip(weight @ above, 1e-3, 1 - 1e-3)
     start = np.log((1 - share) / share)
     theta = np.concatenate([np.zeros(v), start[:1], np.log(np.maximum(np.diff(start), 0.05))])
     m, s = np.zeros_like(theta), np.zeros_like(theta)
@@ -51,10 +58,10 @@ def fit(rows: list[list[int]], grades: list[int], words: list[str], ridge: float
         low = np.concatenate([p, np.zeros((n, 1))], axis=1)[np.arange(n), y]
         of = np.maximum(high - low, 1e-9)
         up, down = high * (1 - high) / of, low * (1 - low) / of
-        slope = -(up - down) / n  # of the loss, by x . weights
+        slope = -(up - down) * weight  # of the loss, by x . weights
         by_cut = np.zeros(k)
-        np.add.at(by_cut, y[y > 0] - 1, up[y > 0] / n)
-        np.add.at(by_cut, y[y < k], -down[y < k] / n)
+        np.add.at(by_cut, y[y > 0] - 1, (up * weight)[y > 0])
+        np.add.at(by_cut, y[y < k], -(down * weight)[y < k])
         tail = by_cut[::-1].cumsum()[::-1]
         grad = np.concatenate([x.T @ slope + ridge * theta[:v], tail[:1], tail[1:] * gaps])
         m, s = 0.9 * m + 0.1 * grad, 0.999 * s + 0.001 * grad**2
