@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,5 +34,25 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterat
             yield batch.slice(at, rows)
 
 
+_held: dict[Hashable, Any] = {}
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def hold(key: Hashable, make: Callable[[], Any]) -> Any:
+    """The one large object that a worker process keeps from task to task; another key takes its place."""
+    if key not in _held:
+        release()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Drop what an earlier operator left in this worker process and give freed memory back to the system."""
+    _held.clear()
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def to_batch(rows: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows[f.name], type=f.type) for f in schema], schema=schema)

@@ -7,6 +7,8 @@ from array import array
 
 import regex
 
+from quarrygraph.llm._frames import hold
+
 #: The tokenizer's own split rule, as its file states it (fixed value).
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Control characters, capital sigma and dotted I, added tokens and rarer scripts go through the library as whole texts.
@@ -14,8 +16,6 @@ PLAIN = regex.compile(r"[\x00-\x08\x0b-\x1f\x7f-\x9fΣİ  Ⰰ-\U0010ffff]|<\
 #: Entries of either cache; both stop growing there, so a worker's memory is bounded.
 CACHE = 300_000
 
-_loaded: dict[str, "WordBpe"] = {}
-
 
 def default_vocabulary() -> str:
     """Path of the public vocabulary file; looked up where the code runs."""
@@ -25,11 +25,9 @@ def default_vocabulary() -> str:
 
 
 def encoder(path: str | None) -> "WordBpe":
-    """One encoder per worker process and vocabulary file."""
+    """One encoder per worker process, until another operator's task comes."""
     path = path or default_vocabulary()
-    if path not in _loaded:
-        _loaded[path] = WordBpe(path)
-    return _loaded[path]
+    return hold(("word-bpe", path), lambda: WordBpe(path))
 
 
 def _byte_letters() -> list[str]:

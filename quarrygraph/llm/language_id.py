@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from quarrygraph.llm._frames import documents, small_batches
+from quarrygraph.llm._frames import documents, hold, small_batches
 
 LETTER = re.compile(r"[^\W\d_]")
 ORDER = 3
@@ -128,14 +128,8 @@ class Coder:
         return total
 
 
-_coders: dict[str, Coder] = {}
-
-
 def coder(model: Model, key: str) -> Coder:
-    if key not in _coders:
-        _coders.clear()
-        _coders[key] = Coder(model)
-    return _coders[key]
+    return hold(("ppm", key), lambda: Coder(model))
 
 
 def training_sample(df: DataFrame, usable: Column, per_language: int = 250, max_bytes: int = 20_000, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, list[bytes]]:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrygraph.llm._frames import documents, small_batches, to_batch
+from quarrygraph.llm._frames import documents, release, small_batches, to_batch
 from quarrygraph.operators.components import connected_components
 from quarrygraph.sources.tables import cut
 
@@ -65,6 +65,7 @@ def fingerprints(df: DataFrame, words: int, bits: int, doc_id: str = "doc_id", t
     """``(doc_id, fp)`` for every row; ``fp`` is ``bits / 8`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in small_batches(batches):
             yield to_batch({"doc_id": batch.column(0), "fp": [fingerprint(shingle_hashes(t, words), bits) for t in batch.column(1).to_pylist()]}, FINGERPRINTS)
 
@@ -114,7 +115,8 @@ def block_links(nodes: DataFrame, masks: Sequence[tuple[int, ...]], max_distance
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 4000):
+        release()
+        for batch in small_batches(batches, 1000):
             if batch.num_rows:
                 keys = _keys(_as_matrix(batch.column(1)), masks)
                 reps = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), len(masks))
@@ -122,6 +124,7 @@ def block_links(nodes: DataFrame, masks: Sequence[tuple[int, ...]], max_distance
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).reshape(-1)), pa.array(reps), batch.column(1).take(at)], names=["key", "rep", "fp"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         key, held = None, _Block(max_distance)
         for batch in batches:
             keys = batch.column(0).to_numpy()

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrygraph.llm._frames import documents, total_bytes
+from quarrygraph.llm._frames import documents, release, total_bytes
 
 BLOCK = 1 << 20
 _POSITION = np.uint64((1 << 21) - 1)
@@ -315,6 +315,7 @@ class SuffixDedup:
 
         def count(key: tuple, table: pa.Table) -> pa.Table:
             """Anchor grams of a run, each with its number of different stretches and whether it comes twice."""
+            release()
             *_, grams, stretch = _Run(table).anchored(window, gram)
             order = np.lexsort((stretch, grams))
             grams, stretch = grams[order], stretch[order]
@@ -331,6 +332,7 @@ class SuffixDedup:
 
         def repeated(key: tuple, table: pa.Table) -> pa.Table:
             """The grams of a bucket that come twice in the corpus, back to the runs that have them."""
+            release()
             from_run = table.column("run").to_pylist()
             grams = [np.frombuffer(x, np.uint64) for x in table.column("a").to_pylist()]
             marks = [np.frombuffer(x, "<u2") for x in table.column("b").to_pylist()]
@@ -357,6 +359,7 @@ class SuffixDedup:
 
         def exchange(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
             """Sorted front-coded suffix runs by bucket; repeats within the run are known here."""
+            release()
             run = _Run(table)
             keys = np.frombuffer(b"".join(told.column("a").to_pylist()), np.uint64)
             hot = np.frombuffer(b"".join(told.column("b").to_pylist()), np.uint8)
@@ -402,6 +405,7 @@ class SuffixDedup:
 
         def merged(key: tuple, table: pa.Table) -> pa.Table:
             """Windows that come earlier elsewhere, by run."""
+            release()
             found: dict[int, list[tuple[int, int]]] = {}
             streams = []
             out: dict[str, list] = {"bucket": [], "run": [], "a": [], "b": []}
@@ -420,6 +424,7 @@ class SuffixDedup:
             return pa.table([pa.array(out[f.name], f.type) for f in BLOBS], schema=BLOBS)
 
         def last_step(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
+            release()
             run = _Run(table)
             spans = np.frombuffer(b"".join(told.column("b").to_pylist()), np.int64).reshape(-1, 2)
             edges = np.zeros(len(run.text) + 1, dtype=np.int32)
