@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrygraph.llm._frames import documents, small_batches, to_batch
-from quarrygraph.sources.tables import table
+from quarrygraph.sources.tables import cut, table
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that are features besides whole words.
@@ -70,9 +70,14 @@ def fit(rows: list[list[int]], grades: list[int], words: list[str], ridge: float
     return Model(tuple(words), tuple(map(float, theta[:v])), tuple(map(float, cuts)))
 
 
-def features_of(text: str) -> F.Column:
-    """Distinct lower-cased words, and the beginnings of longer ones marked with ^."""
-    words = F.array_distinct(F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}]+"), lambda w: w != ""))
+def distinct_words(text: str) -> F.Column:
+    """Distinct lower-cased words, joined by spaces."""
+    return F.array_join(F.array_distinct(F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}]+"), lambda w: w != "")), " ")
+
+
+def features_of(line: str) -> F.Column:
+    """The words of :func:`distinct_words`, and the beginnings of longer ones marked with ^."""
+    words = F.filter(F.split(F.col(line), " "), lambda w: w != "")
 
     def begun(k: int) -> F.Column:
         return F.transform(F.filter(words, lambda w: F.length(w) > k), lambda w: F.concat(F.lit("^"), F.substring(w, 1, k)))
@@ -91,9 +96,11 @@ def learn(df: DataFrame, labels: DataFrame, max_words: int = 400, max_rows: int
     they hold.
     """
     told = labels.select(F.col(doc_id).alias("doc_id"), F.col(toxic).cast("int").alias("y")).dropna().groupBy("doc_id").agg(F.max("y").alias("y"))
-    texts = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null").join(told, "doc_id")
-    # Copies of a text are one observation, toxic if any copy is.
-    rows = texts.groupBy(F.md5("text").alias("digest")).agg(F.max("y").alias("y"), F.min("text").alias("text")).select("digest", "y", features_of("text").alias("words"))
+    texts = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null").withColumn("digest", F.md5("text"))
+    # Copies of a text are one observation, toxic if any copy is; found by digests, so only words are shuffled, and once.
+    chosen = texts.select("doc_id", "digest").join(told, "doc_id").groupBy("digest").agg(F.max("y").alias("y"), F.min("doc_id").alias("doc_id"))
+    lines = texts.select("doc_id", "digest", distinct_words("text").alias("line")).join(chosen, ["doc_id", "digest"])
+    rows = cut(lines.dropDuplicates(["doc_id", "digest"]).select("digest", "y", "line")).select("digest", "y", features_of("line").alias("words"))
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
