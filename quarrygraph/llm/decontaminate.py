@@ -1,17 +1,13 @@
-"""Benchmark decontamination by spaced-seed hashing (DataFrame functions only)."""
+"""Benchmark decontamination by exact seeds that no accepted match can avoid (DataFrame functions only)."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrygraph.llm._frames import documents
 from quarrygraph.sources.tables import table
 
-#: Positions that count (1) of 12 tokens; the others may differ.  Fixed masks of weight 8.
-MASKS = ("110110011011", "101101110101", "111010100111")
 #: Seeds of the benchmark are broadcast up to this many rows; beyond, both sides are shuffled.
 BROADCAST_SEEDS = 1_000_000
 
@@ -22,42 +18,49 @@ def tokens(text: str) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def seeds(hashes: str, masks: Sequence[str], stride: int) -> Column:
-    """``array<struct<at, seed>>`` of every ``stride``-th window under every mask."""
-    span = len(masks[0])
-    h = F.col(hashes)
+def seed_width(size: Column, window: int, similarity: float) -> Column:
+    """The longest run of equal tokens that every accepted match of an item of ``size`` tokens holds.
 
-    def of_window(i: Column) -> Column:
-        made = [F.struct(i.alias("at"), F.xxhash64(F.lit(m), *[F.get(h, i + p) for p, bit in enumerate(mask) if bit == "1"]).alias("seed")) for m, mask in enumerate(masks)]
-        return F.array(*made)
+    ``k`` differing tokens cut a match into ``k + 1`` runs, and the longest has its share at least: 4
+    tokens for 16 of 20.
+    """
+    run = F.least(size, F.lit(window))
+    equal = F.ceil(run * similarity)  # as the accepting test rounds
+    return F.ceil(equal / (run - equal + 1)).cast("int")
 
-    windows = F.flatten(F.transform(F.sequence(F.lit(0), F.size(h) - span, F.lit(stride)), of_window))
-    return F.when(F.size(h) >= span, windows)
+
+def seeds(hashes: str, width: int) -> Column:
+    """``array<struct<at, seed>>`` of every window of ``width`` tokens; none for fewer tokens."""
+    h = F.col(hashes)
+    at = F.sequence(F.lit(0), F.size(h) - width)
+    made = F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(width), *[F.get(h, i + p) for p in range(width)]).alias("seed")))
+    return F.when(F.size(h) >= width, made).otherwise(F.array().cast("array<struct<at:int,seed:bigint>>"))
 
 
 def find_leaks(
     df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    masks: Sequence[str] = MASKS, stride: int = 3, window: int = 20, similarity: float = 0.8,
+    window: int = 20, similarity: float = 0.8,
 ) -> DataFrame:
     """``(doc_id, item_id, doc_start, item_start, n_tokens, n_matched)`` of every leaked passage.
 
-    Every window of 12 tokens of an item and every third one of a document is hashed under each mask,
-    which leaves out the positions where it has 0; equal hashes are hits.  A hit aligns the two token
-    by token, and the alignment is a leak if some run of ``window`` tokens (or the whole item, if
+    A leak is an alignment of the two in which some run of ``window`` tokens (or the whole item, if
     shorter) agrees in at least ``similarity`` of its positions; the best such run is returned, one
-    row a document and item.  Any run of 14 equal tokens is certain to be hit; with substitutions a
-    hit needs one aligned window whose counted positions agree.
+    row a document and item.  Such a run holds some ``seed_width`` equal tokens in a row, so every
+    window of that many tokens of document and item is hashed, equal hashes are hits, and each hit's
+    alignment is compared token by token: no leak is missed, for items of any length.
 
-    Items of fewer than 12 tokens are never found.  Null texts hold no tokens, null ids are kept as
+    Null texts hold no tokens, null ids are kept as
     ids (rows that share one are taken together), repeated rows give no further rows, an empty table
     on either side gives none.
     """
-    span = len(masks[0])
-    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), tokens(item_text).alias("item")).where(F.size("item") >= span)
-    keyed = items.select("item_id", F.explode(seeds("item", masks, 1)).alias("s")).select("item_id", F.col("s.at").alias("item_at"), F.col("s.seed").alias("seed"))
+    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), tokens(item_text).alias("item")).where(F.size("item") > 0)
+    items = items.withColumn("width", seed_width(F.size("item"), window, similarity))
+    widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # a few small numbers
+    own = F.coalesce(*[F.when(F.col("width") == w, seeds("item", w)) for w in widths or [1]])
+    keyed = items.select("item_id", F.explode(own).alias("s")).select("item_id", F.col("s.at").alias("item_at"), F.col("s.seed").alias("seed"))
     small = keyed.count() <= BROADCAST_SEEDS
     corpus = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    looked = corpus.select("doc_id", tokens("text").alias("doc")).select("doc_id", F.explode(seeds("doc", masks, stride)).alias("s"))
+    looked = corpus.select("doc_id", tokens("text").alias("doc")).select("doc_id", F.explode(F.flatten(F.array(*[seeds("doc", w) for w in widths or [1]]))).alias("s"))
     hits = (
         looked.select("doc_id", F.col("s.at").alias("doc_at"), F.col("s.seed").alias("seed"))
         .join(F.broadcast(keyed) if small else keyed, "seed")

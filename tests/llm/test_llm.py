@@ -198,3 +198,22 @@ def test_sharding(spark, rows):
     cells = sorted(range(64), key=curve.__getitem__)
     assert all(abs(a // 8 - b // 8) + abs(a % 8 - b % 8) == 1 for a, b in zip(cells, cells[1:], strict=False))
     assert sharding.hilbert_shards(make(spark, [])).count() == 0
+
+
+def test_decontamination_finds_every_accepted_match(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    items = {n: [word() for _ in range(n)] for n in (1, 3, 5, 8, 11, 12, 13, 15, 16, 20, 30)}
+    docs, want = [], set()
+    for n, item in items.items():
+        run = min(n, 20)
+        for k in range(run // 5 + 1):
+            for shift in range(3):
+                even = [*item]
+                for j in range(k):
+                    even[(j + 1) * run // (k + 1)] = "zzz"  # as far from each other as can be
+                docs.append((len(docs), " ".join([word() for _ in range(5 + shift)] + even[:run] + [word() for _ in range(4)])))
+                if sum(a == b for a, b in zip(even[:run], item, strict=False)) >= 0.8 * run:
+                    want.add((docs[-1][0], n))
+    bench = spark.createDataFrame([(n, " ".join(item)) for n, item in items.items()], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(make(spark, docs), bench).collect()} == want and len(want) == len(docs)
