@@ -214,7 +214,38 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return add_language(told, model).drop("text")
 
 
+#: A kept text costs at most this many times what 99 % of held-out texts of its language cost at most, in bits per byte.
+SLACK = 2.0
+#: So many bits beyond that are no evidence: a few bytes can be anything.
+FREE_BITS = 64.0
+
+
+def bounds(df: DataFrame, model: Model) -> dict[str, float]:
+    """The largest bits per byte that a text of each language may cost, from labelled texts the model has not seen.
+
+    Only texts that the model says are of their own label count, so wrong labels do not loosen the
+    bound.  A language without any such text has no bound.
+    """
+    found = {}
+    for language, texts in training_sample(df, F.coalesce(fold() == 1, F.lit(False))).items():
+        costs = sorted(bits for said, _, bits in predict(model, [t.decode() for t in texts]) if said == language)
+        if costs:
+            found[language] = SLACK * costs[-(-99 * len(costs) // 100) - 1]
+    return found
+
+
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without a letter go; the columns of documents stay."""
-    said = add_language(docs, learn(docs.select("doc_id", "text", "lang")))
-    return said.where(F.col("lang_pred") != "und").select(*docs.columns)
+    """Pipeline stage: texts that no learned language codes well, and those without a letter, go.
+
+    A text goes if it costs over ``FREE_BITS`` bits more than the bound of its best language allows.
+
+    Without any learned language nothing can be said and all rows stay.
+    """
+    labelled = docs.select("doc_id", "text", "lang")
+    model = learn(labelled)
+    if not model.languages:
+        return docs
+    bound = F.lit(float("inf"))
+    for language, most in bounds(labelled, model).items():
+        bound = F.when(F.col("lang_pred") == language, most).otherwise(bound)
+    return add_language(docs, model).where((F.col("lang_pred") != "und") & (F.col("bits_per_byte") <= bound + FREE_BITS / F.octet_length("text"))).select(*docs.columns)

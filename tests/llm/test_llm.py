@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quarrygraph.llm import decontaminate, language_id, media, packing, sharding, simhash, suffix_dedup, token_output, toxicity, url_filters
 from quarrygraph.llm._tokens import default_vocabulary, encoder
@@ -134,6 +135,17 @@ def test_language_id(spark):
     assert float((2.0 ** -coder.bits.reshape(-1, 256).astype("float64")).sum(axis=1).max()) <= 1.0001  # code lengths satisfy Kraft
 
 
+def test_language_stage_rejects_what_was_not_learned(spark):
+    rng = random.Random(5)
+    lexicon = {"aa": ["karu", "miro", "tavo"], "bb": ["schlund", "grüße", "wert"]}
+    clean = [(i, " ".join(rng.choice(lexicon[k]) for _ in range(30)), k) for i in range(120) for k in [("aa", "bb")[i % 2]]]
+    other = [(900, "новые правила вступят в силу в следующем месяце", None), (901, " ".join("".join(rng.choice("bcdfghjklmnpqxyz") for _ in range(7)) for _ in range(20)), None), (902, "12 !", "bb")]
+    df = spark.createDataFrame(clean + other, "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in language_id.keep_known_languages(spark, df, "").collect()) == list(range(120))
+    unlabelled = df.withColumn("lang", F.lit(None).cast("string"))
+    assert language_id.keep_known_languages(spark, unlabelled, "").count() == 123
+
+
 @pytest.mark.parametrize("light", [1024, 4])
 def test_simhash(spark, rows, light, monkeypatch):
     rng = random.Random(9)
