@@ -58,7 +58,7 @@ RULES = (
 #: The method's own patterns, for urls that no host rule fits.
 PATTERNS = (
     pattern_rule("block", r"(?:[^/]*\.)?spam-farm\.", "spam", "farm"),
-    pattern_rule("block", r"(?:[^/]*\.)?(?:ads?|adserver|doubleclick)\.[^/]*/.*banner", "banner"),
+    pattern_rule("block", r"(?:[^/]*\.)?(?:ads?|adserver|doubleclick)\.[^/]*/.*banner"),  # banner may be part of a token, so no literal
     pattern_rule("block", r"[^/]*/(?:.*/)?casino(?:/|$)", "casino"),
     pattern_rule("block", r"[^/]*/(?:.*/)?wp-login\.php$", "wp", "login", "php"),
 )

@@ -124,6 +124,20 @@ def test_url_filters(spark):
     assert got == {1: ("example.org/es/", "block"), 2: ("example.org/en/1", "block"), 3: ("com/fr/", "allow"), 4: (None, "allow"), 5: (None, "allow"), 6: (None, "allow"), 7: ("org/", "allow"), 8: (None, "allow"), 9: (None, "block"), 10: ("com/de/", "block")}
 
 
+def test_url_index_equals_running_every_rule(spark):
+    rules = url_filters.RULES + url_filters.PATTERNS
+    ends = ["/img/banners/1.gif", "/topbanner", "/banner468x60.png", "/banner", "/casino/", "/casinos/", "/wp-login.php", "/es/", "/en/12", "/fr/x", "/de/"]
+    hosts = ["ads.x.net", "ad.org", "adserver.example.org", "spam-farm.com", "b.spam-farm.net", "notads.x.net", "x.com", "EXAMPLE.org"]
+    urls = {n: f"http://{h}{e}" for n, (h, e) in enumerate((h, e) for h in hosts for e in ends)}
+    want = {}
+    for n, url in urls.items():
+        fits = [(r.rank, -i) for i, r in enumerate(rules) if url_filters.re.match(r.pattern, "".join(url_filters.split_url(url)), url_filters.re.S)]
+        best = rules[-max(fits)[1]] if fits else None
+        want[n] = (best.name, best.verdict) if best else (None, "allow")
+    df = spark.createDataFrame(list(urls.items()), "page_id long, url string")
+    assert {r.page_id: (r.rule, r.verdict) for r in url_filters.filter_urls(df).collect()} == want and want[0] == (None, "block")
+
+
 def test_language_id(spark):
     rng = random.Random(4)
     lexicon = {"aa": ["karu", "miro", "tavo"], "bb": ["schlund", "grüße", "wert"]}
