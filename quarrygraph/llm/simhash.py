@@ -310,7 +310,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Pipeline stage: one document of each group of near copies stays, the one with the smallest id.
 
     Five-word shingles in 256-bit fingerprints; a similarity of 0.8 is an angle of 27 degrees, 39 of
-    256 bits.  Of rows that repeat a doc_id one stays; a null doc_id stays.
+    256 bits.  Rows that repeat a doc_id stay or go together; a null doc_id stays.
     """
     found = near_duplicates(docs)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
