@@ -132,27 +132,30 @@ def coder(model: Model, key: str) -> Coder:
     return hold(("ppm", key), lambda: Coder(model))
 
 
-def training_sample(df: DataFrame, usable: Column, per_language: int = 250, max_bytes: int = 20_000, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, list[bytes]]:
-    """At most ``per_language`` whole texts of at most ``max_bytes`` for each language, chosen by a hash of the id.
+def training_sample(df: DataFrame, usable: Column, per_language: int = 250, max_chars: int = 20_000, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, list[bytes]]:
+    """Texts to learn from, for each language: ``per_language`` labelled rows chosen by a hash of the id, at most.
 
-    The bound is on labelled rows to learn from only.  The choice is made on ids and hashes; texts
-    are fetched for the chosen ids alone.
+    Every labelled row may be chosen, however long; of a text over ``max_chars`` characters a stretch of
+    that many is taken, at a place that the hash names.  Both bounds are on what is learned from only.  The
+    choice is made on ids and hashes; texts are fetched for the chosen ids alone.
     """
-    rows = df.where(usable & F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.octet_length(F.col(text)) <= max_bytes))
-    ranked = rows.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.xxhash64(F.col(doc_id), F.lit(6)).alias("h"))
+    rows = df.where(usable & F.col(text).isNotNull() & F.col(lang).isNotNull())
+    h = F.xxhash64(F.col(doc_id), F.lit(6))
+    ranked = rows.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), h.alias("h"))
     first = Window.partitionBy("lang").orderBy("h", "id")
     ids = [r["id"] for r in ranked.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).select("id").collect()]
     if not ids:
         return {}
     chosen = df.sparkSession.createDataFrame([(i,) for i in ids], "id long").distinct()
-    picked = rows.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
+    start = F.pmod(h, F.greatest(F.lit(1), F.length(text) - max_chars + 1)).cast("int") + 1
+    picked = rows.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.substring(F.col(text), start, F.lit(max_chars)).alias("text")).join(F.broadcast(chosen), "id")
     found: dict[str, list[bytes]] = {}
     for r in picked.collect():
         found.setdefault(r["lang"], []).append(r["text"].encode())
     return {k: sorted(v) for k, v in found.items()}
 
 
-PREDICTED_DDL = "lang_pred string, score double, bits_per_byte double"
+PREDICTED = ("lang_pred", "score", "bits_per_byte")
 _UND = ("und", 0.0, 0.0)
 
 
@@ -176,13 +179,13 @@ def predict(model: Model, texts: list[str | None], key: str | None = None) -> li
     return out
 
 
-def add_language(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of ``df`` (other than these three) with ``lang_pred``, ``score`` and ``bits_per_byte``.
+def add_language(df: DataFrame, model: Model, text: str = "text", names: tuple[str, str, str] = PREDICTED) -> DataFrame:
+    """All columns of ``df`` with the language, its score and the bits per byte under ``names``.
 
     Null texts and texts without a letter are ``und`` at 0; without any learned language all are.
-    Rows are independent; an empty table stays empty; columns named as the new ones are replaced.
+    Rows are independent; an empty table stays empty; columns that have one of the ``names`` are replaced.
     """
-    kept = df.drop("lang_pred", "score", "bits_per_byte")
+    kept = df.drop(*names)
     key = model.key
     at = kept.columns.index(text)
 
@@ -190,9 +193,9 @@ def add_language(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in small_batches(batches):
             rows = predict(model, batch.column(at).to_pylist(), key)
             new = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "lang_pred", "score", "bits_per_byte"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
 
-    out = StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("bits_per_byte", DoubleType())])
+    out = StructType([*kept.schema.fields, *map(StructField, names, (StringType(), DoubleType(), DoubleType()))])
     return kept.mapInArrow(run, out)
 
 
@@ -206,7 +209,6 @@ def learn(df: DataFrame) -> Model:
     return fit(training_sample(df, F.coalesce(fold() != 1, F.lit(False))))
 
 
-
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     model = learn(docs)
@@ -235,7 +237,7 @@ def bounds(df: DataFrame, model: Model) -> dict[str, float]:
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: texts that no learned language codes well, and those without a letter, go.
+    """Pipeline stage: texts that no learned language codes well, null texts and those without a letter, go.
 
     A text goes if it costs over ``FREE_BITS`` bits more than the bound of its best language allows.
 
@@ -245,7 +247,9 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     model = learn(labelled)
     if not model.languages:
         return docs
+    # Columns of the documents may be named as the predictions are, and stay.
+    said, score, bits = names = ("_stage_lang", "_stage_score", "_stage_bits")
     bound = F.lit(float("inf"))
     for language, most in bounds(labelled, model).items():
-        bound = F.when(F.col("lang_pred") == language, most).otherwise(bound)
-    return add_language(docs, model).where((F.col("lang_pred") != "und") & (F.col("bits_per_byte") <= bound + FREE_BITS / F.octet_length("text"))).select(*docs.columns)
+        bound = F.when(F.col(said) == language, most).otherwise(bound)
+    return add_language(docs, model, names=names).where((F.col(said) != "und") & (F.col(bits) <= bound + FREE_BITS / F.octet_length("text"))).select(*docs.columns)

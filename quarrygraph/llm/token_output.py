@@ -70,8 +70,10 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[list[int]]:
     return windows
 
 
-def packed_matrices(df: DataFrame, capacity: int = 2048, buffer_tokens: int = 1_000_000, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, end_id: int = 2, pad_id: int = 0) -> DataFrame:
-    """One row per packed window: little-endian uint16 ids, cumulative segment lengths, position resets.
+def packed_matrices(df: DataFrame, capacity: int = 2048, buffer_tokens: int = 1_000_000, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, end_id: int = 2, pad_id: int = 0, id_bytes: int = 2) -> DataFrame:
+    """One row per packed window: little-endian ids of ``id_bytes`` (2 or 4), cumulative segment lengths, position resets.
+
+    An id that does not fit ``id_bytes`` is an error.
 
     A document's ids end with ``end_id``; documents over ``capacity`` ids are cut into windows'
     lengths and a rest, no id is lost, and ``starts`` says where each segment begins in its document.
@@ -82,6 +84,10 @@ def packed_matrices(df: DataFrame, capacity: int = 2048, buffer_tokens: int = 1_
     as often as they come, an empty table gives no rows.  Window ids are unique, not gapless.
     """
 
+    if id_bytes not in (2, 4) or capacity > 1 << 8 * id_bytes:
+        raise ValueError("id_bytes is 2 or 4, and positions must fit it")
+    kind, most = f"<u{id_bytes}", (1 << 8 * id_bytes) - 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, end = encoder(vocabulary).ids, np.array([end_id], dtype="<u4").tobytes()
         part, made = TaskContext.get().partitionId(), 0
@@ -94,7 +100,7 @@ def packed_matrices(df: DataFrame, capacity: int = 2048, buffer_tokens: int = 1_
             for at in range(0, len(windows), 200):
                 out: dict[str, list] = {f.name: [] for f in ROWS}
                 for window in windows[at : at + 200]:
-                    ids, positions = np.full(capacity, pad_id, dtype="<u2"), np.zeros(capacity, dtype="<u2")
+                    ids, positions = np.full(capacity, pad_id, dtype=kind), np.zeros(capacity, dtype=kind)
                     ends = [0]
                     for i in window:
                         n = len(held[i][2])
@@ -107,7 +113,10 @@ def packed_matrices(df: DataFrame, capacity: int = 2048, buffer_tokens: int = 1_
 
         for batch in small_batches(batches):
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(ids_of(value) + end, dtype="<u4").astype("<u2")
+                wide = np.frombuffer(ids_of(value) + end, dtype="<u4")
+                if wide.max() > most:
+                    raise ValueError(f"token id {wide.max()} does not fit {id_bytes} bytes")
+                ids = wide.astype(kind)
                 for start in range(0, len(ids), capacity):
                     held.append((doc, start, ids[start : start + capacity]))
                 tokens += len(ids)
