@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import re
 from collections.abc import Iterator, Sequence
 
@@ -79,21 +80,39 @@ def pigeonhole_masks(bits: int, blocks: int, agree: int) -> list[tuple[int, ...]
     return [tuple(p for b in chosen for p in range(edges[b], edges[b + 1])) for chosen in itertools.combinations(range(blocks), agree)]
 
 
-def sampled_masks(bits: int, tables: int, width: int) -> list[tuple[int, ...]]:
-    """``tables`` fixed choices of ``width`` bit positions, for distances beyond exact pigeonholing."""
-    draw = np.random.Generator(np.random.PCG64(7))
-    return [tuple(sorted(draw.choice(bits, width, replace=False).tolist())) for _ in range(tables)]
+def split_masks(bits: int, width: int, tables: int) -> list[tuple[int, ...]]:
+    """``tables`` blocks of ``width`` bit positions.
+
+    The bits are split into disjoint blocks, in an order drawn once; where more blocks are wanted than one
+    split has, further splits follow in further orders.  Fingerprints that differ in fewer bits than a
+    split has blocks share a block for certain, others with the chance that :func:`tables_for` counts.
+    """
+    draw, masks = np.random.Generator(np.random.PCG64(7)), []
+    while len(masks) < tables:
+        order = draw.permutation(bits)
+        masks += [tuple(sorted(order[at : at + width].tolist())) for at in range(0, bits - width + 1, width)]
+    return masks[:tables]
+
+
+def tables_for(bits: int, width: int, distance: int, recall: float) -> int:
+    """How many blocks of ``width`` bits find a pair that differs in ``distance`` bits with a chance of ``recall``."""
+    share = math.prod((bits - distance - i) / (bits - i) for i in range(width))
+    return max(bits // width, math.ceil(math.log(1 - recall) / math.log(1 - share)))
+
+
+def width_for(fingerprints: int, members: int = 128) -> int:
+    """Block width at which a block holds about ``members`` unrelated fingerprints, whatever their number."""
+    return min(48, max(8, math.ceil(math.log2(max(1, fingerprints) / members))))
 
 
 def _keys(fps: np.ndarray, masks: Sequence[tuple[int, ...]]) -> np.ndarray:
-    """One 64-bit key a fingerprint and mask: its masked bits (at most 56), and the mask's number on top."""
+    """One 64-bit key a fingerprint and mask: its masked bits (at most 48), and the mask's number on top."""
     bits = np.unpackbits(fps, axis=1)
     out = np.empty((len(fps), len(masks)), dtype=np.uint64)
     for t, mask in enumerate(masks):
         packed = np.zeros((len(fps), 8), dtype=np.uint8)
-        packed[:, 1:] = np.packbits(np.pad(bits[:, mask], ((0, 0), (56 - len(mask), 0))), axis=1)
-        packed[:, 0] = t
-        out[:, t] = packed.view(">u8")[:, 0]
+        packed[:, 2:] = np.packbits(np.pad(bits[:, mask], ((0, 0), (48 - len(mask), 0))), axis=1)
+        out[:, t] = packed.view(">u8")[:, 0] | np.uint64(t << 48)
     return out
 
 
@@ -194,14 +213,20 @@ class _Block:
         """Adds links that span the components of these members; gives each member's component (its first member)."""
         labels = np.arange(len(reps))
         words = np.ascontiguousarray(fps).view(np.uint64)
-        if len(reps) == 2:
-            if int(np.bitwise_count(words[0] ^ words[1]).sum()) <= self.most:
-                self.src.append(reps[:1])
-                self.dst.append(reps[1:])
-                labels[1] = 0
+        # Most blocks hold unrelated members only: one pass over all pairs says which have a link at all.
+        linked = np.zeros(len(reps), dtype=bool)
+        for at in range(0, len(reps), 64):
+            part = words[at : at + 64]
+            apart = np.zeros((len(part), len(words) - at), dtype=np.uint16)
+            for w in range(words.shape[1]):
+                apart += np.bitwise_count(part[:, w, None] ^ words[None, at:, w])
+            i, j = np.nonzero(apart <= self.most)
+            some = i != j
+            linked[at + i[some]] = linked[at + j[some]] = True
+        if not linked.any():
             return labels
-        waiting = np.ones(len(reps), dtype=bool)
-        for first in range(len(reps)):
+        waiting = linked.copy()
+        for first in np.flatnonzero(linked).tolist():
             if not waiting[first]:
                 continue
             front = [first]
@@ -276,26 +301,32 @@ def crowded_links(members: DataFrame, max_distance: int) -> DataFrame:
     return pairs.select("some", "others").mapInArrow(compare, "src long, dst long, fp binary, key long, rest boolean").select("src", "dst")
 
 
-def near_duplicates(df: DataFrame, words: int = 5, bits: int = 256, masks: Sequence[tuple[int, ...]] | None = None, max_distance: int = 40, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(
+    df: DataFrame, words: int = 5, bits: int = 256, masks: Sequence[tuple[int, ...]] | None = None, max_distance: int = 48, near: int = 39, recall: float = 0.985, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
     """``(doc_id, fp, component_id)`` for every row.
 
     ``component_id`` is the smallest doc_id whose fingerprint is reached over links of at most
     ``max_distance`` bits.  Equal fingerprints are one node, so copies cost no pairs.  With 64 bits,
-    a distance of at most 2 and pigeonhole masks every link is found; wider settings use sampled
-    masks, whose recall falls with the distance.  Null texts and texts without words have
+    a distance of at most 2 and :func:`pigeonhole_masks` every link is found.  Without ``masks`` the
+    fingerprint is split into blocks as wide as the number of fingerprints asks for and as many as
+    find a pair that differs in ``near`` bits with the chance ``recall`` (in fewer bits, a larger one).
+    Null texts and texts without words have
     fingerprint zero and link like any other; rows with a null doc_id get their fingerprint's
     component, which they never name; repeated rows stay; an empty table gives no rows.
     """
-    masks = masks if masks is not None else sampled_masks(bits, 64, 24)
     rows = cut(fingerprints(df, words, bits, doc_id, text))
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null")
+    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"))
+    if masks is None:
+        width = width_for(nodes.count())
+        masks = split_masks(bits, width, tables_for(bits, width, near, recall))
     links = cut(block_links(nodes, masks, max_distance))
     edges = links.where("dst is not null").select("src", "dst")
     heavy = links.where("dst is null")
     if not heavy.isEmpty():
         one_bit = bits == 64 and max_distance in (0, 2)
         edges = edges.union(one_bit_links(heavy, max_distance) if one_bit else crowded_links(heavy, max_distance))
-    labels = connected_components(edges)
+    labels = connected_components(edges.distinct())
     classes = nodes.join(labels, nodes.rep == labels.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return rows.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
@@ -306,12 +337,24 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+#: Rows to remove are broadcast up to this many; beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
+
+
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group of near copies stays, the one with the smallest id.
+    """Pipeline stage: one row of each group of near copies stays, the one with the smallest doc_id.
 
-    Five-word shingles in 256-bit fingerprints; a similarity of 0.8 is an angle of 27 degrees, 39 of
-    256 bits.  Rows that repeat a doc_id stay or go together; a null doc_id stays.
+    Five-word shingles in 256-bit fingerprints.  Documents whose shingle sets are similar by 0.8 differ in
+    39 of 256 bits in the mean, and links reach to 48, so that most of them are within.  Rows are told
+    apart by their place, not their id: of exactly repeated rows one stays, different texts under one id
+    are judged one by one, and rows with a null doc_id take part (after all others).
     """
-    found = near_duplicates(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    placed = cut(docs.select("*", F.monotonically_increasing_id().alias("_stage_row")))
+    found = near_duplicates(placed, doc_id="_stage_row", text="text").select(F.col("doc_id").alias("_stage_row"), "component_id")
+    ids = placed.select("_stage_row", F.col("doc_id").alias("id")).join(found, "_stage_row")
+    order = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("_stage_row").alias("row"))
+    # Every row is in a group, most alone; only groups of more rows are looked at.
+    kept = ids.groupBy("component_id").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("component_id", F.col("first.row").alias("kept"))
+    gone = cut(found.join(kept, "component_id").where("_stage_row <> kept").select("_stage_row"))
+    small = gone.count() <= BROADCAST_ROWS
+    return placed.join(F.broadcast(gone) if small else gone, "_stage_row", "left_anti").select(*docs.columns)

@@ -243,3 +243,55 @@ def test_decontamination_finds_every_accepted_match(spark):
                     want.add((docs[-1][0], n))
     bench = spark.createDataFrame([(n, " ".join(item)) for n, item in items.items()], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(make(spark, docs), bench).collect()} == want and len(want) == len(docs)
+
+
+def test_near_dedup_stage(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(900)]
+    text = lambda: [rng.choice(words) for _ in range(300)]
+    docs, copies = [], []
+    for i in range(60):
+        base = text()
+        near = list(base)
+        for at in rng.sample(range(300), 3):  # 3 words in 15 of 296 shingles each: a similarity of 0.9
+            near[at] = "other"
+        docs += [(i, " ".join(base)), (1000 + i, " ".join(near))]
+        copies.append(1000 + i)
+    docs += [(5000, " ".join(text())), (5000, " ".join(text())), (5001, docs[0][1]), (5001, docs[0][1]), (None, docs[2][1]), (None, "a text of its own"), (6000, None), (6001, "")]
+    df = spark.createDataFrame([(i, t, "x", 0.5) for i, t in docs], "doc_id long, text string, fp string, score double")
+    got = simhash.keep_one_of_each(spark, df, "")
+    assert got.columns == df.columns
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert sorted(i for i, _ in kept if i is not None and i < 1000) == list(range(60))
+    assert sum(i in copies for i, _ in kept if i is not None) <= 3
+    assert sum(i == 5000 for i, _ in kept) == 2 and not any(i == 5001 for i, _ in kept)
+    assert [t for i, t in kept if i is None] == ["a text of its own"] and [i for i, t in kept if not t] == [6000]
+    assert simhash.keep_one_of_each(spark, df.limit(0), "").count() == 0
+
+
+def test_near_dedup_recall():
+    rng = np.random.default_rng(3)
+    masks = simhash.split_masks(256, 11, simhash.tables_for(256, 11, 39, 0.985))
+    assert sorted(sum(masks[:23], ())) == sorted(set(sum(masks[:23], ())))  # the first split is disjoint
+    found, far = 0, 0
+    for similarity in [0.8] * 200 + [0.5] * 100:
+        a = rng.integers(0, 1 << 63, 400, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 400, dtype=np.uint64)
+        shared = round(800 * similarity / (1 + similarity))
+        b = np.concatenate([a[:shared], rng.integers(0, 1 << 63, 400 - shared, dtype=np.uint64) * np.uint64(2)])
+        both = np.frombuffer(simhash.fingerprint(a, 256) + simhash.fingerprint(b, 256), np.uint8).reshape(2, -1)
+        keys = simhash._keys(both, masks)
+        linked = (keys[0] == keys[1]).any() and np.bitwise_count(both[0] ^ both[1]).sum() <= 48
+        found, far = found + (linked and similarity == 0.8), far + (linked and similarity == 0.5)
+    assert found >= 180 and far <= 3
+
+
+def test_fingerprint_by_hand():
+    import xxhash
+
+    text = "The quick  brown\tFOX Über the"
+    words = ["the", "quick", "brown", "fox", "Über", "the"]
+    assert [xxhash.xxh64_intdigest(" ".join(words[i : i + 3]), 42) for i in range(4)] == simhash.shingle_hashes(text, 3).tolist()
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 3]), 42) for i in range(4)]
+    want = sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > 4)
+    assert int.from_bytes(simhash.fingerprint(simhash.shingle_hashes(text, 3), 64), "big") == want
+    assert simhash.shingle_hashes("Ab c", 3).tolist() == [xxhash.xxh64_intdigest("ab c", 42)] and simhash.fingerprint(simhash.shingle_hashes(" ", 3), 64) == bytes(8)
