@@ -10,8 +10,9 @@ Sorting every suffix would ship many times the text.  Two published reductions k
 
 Runs of some megabytes of documents are sorted, front-coded and dealt by anchor; each bucket merges
 its runs with a loser tree whose nodes hold the common prefix with the last winner, so known prefixes
-are never compared again.  Suffixes that share an anchor are neighbours in the merged order; their
-windows are compared through the common prefixes and suffixes.
+are never compared again.  Suffixes that share an anchor are neighbours in the merged order, and the
+common prefixes that the merge gives say how far the windows of two of them agree to the right of the
+anchor; only what lies to its left is compared.
 """
 
 from __future__ import annotations
@@ -243,65 +244,94 @@ class _Member:
         self.low = self.high - self.windows + 1
 
 
-def repeats(group: list[_Member], window: int, pairwise: int = 16) -> Iterator[tuple[int, int, int]]:
-    """``(run, first window, last window)`` of windows that an earlier document's suffix in the group also has."""
-    group.sort(key=lambda m: (m.doc, m.first))
-    texts: dict[tuple[bytes, bytes], _Member] = {}
-    distinct: list[_Member] = []
-    for m in group:
-        if (m.suffix, m.left) in texts:
-            yield m.run, m.first, m.first + m.windows - 1
-        else:
-            texts[m.suffix, m.left] = m
-            distinct.append(m)
-    if len(distinct) <= pairwise:
-        for j, m in enumerate(distinct):
-            for e in distinct[:j]:
-                right = prefix_length(e.suffix, m.suffix)
-                n = min(e.high, m.high)
-                left = prefix_length(e.left[::-1][:n], m.left[::-1][:n])
-                low, high = max(window - right, e.low, m.low), min(left, n)
-                if low <= high:
-                    yield m.run, m.first + m.high - high, m.first + m.high - low
+def repeats(group: list[_Member], common: list[int], window: int, pairwise: int = 16) -> Iterator[tuple[int, int, int]]:
+    """``(run, first window, last window)`` of the windows of a group that an earlier document's suffix in it also has.
+
+    The group is in merged order and ``common`` holds each member's common prefix with the one before, so
+    the common prefix of any two is the least of those between them and nothing to the right of the
+    anchor is compared.  Small groups look at pairs, larger ones at one offset of the anchor after the
+    other; both give the same windows.
+    """
+    if len(group) <= pairwise:
+        for i, a in enumerate(group):
+            right = window
+            for j in range(i + 1, len(group)):
+                b, right = group[j], min(right, common[j])
+                if window - right > a.high:
+                    break
+                n = min(a.high, b.high)
+                low = max(window - right, a.low, b.low)
+                left = n if a.left[len(a.left) - n :] == b.left[len(b.left) - n :] else prefix_length(a.left[::-1][:n], b.left[::-1][:n])
+                if low <= left:
+                    m = b if (a.doc, a.first) < (b.doc, b.first) else a
+                    yield m.run, m.first + m.high - left, m.first + m.high - low
         return
-    seen: set[tuple[int, bytes]] = set()
-    for m in distinct:
-        whole = m.left + m.suffix
-        begin = None
-        for i in range(m.windows):
-            key = (m.high - i, whole[i : i + window])
-            if key in seen:
-                begin = i if begin is None else begin
-            else:
-                seen.add(key)
-                if begin is not None:
-                    yield m.run, m.first + begin, m.first + i - 1
-                    begin = None
-        if begin is not None:
-            yield m.run, m.first + begin, m.first + m.windows - 1
-
-
-def _groups(streams: list[_Stream], gram: int, digest: int) -> Iterator[list[_Member]]:
+    seen = [0] * len(group)
+    for k in range(min(m.low for m in group), max(m.high for m in group) + 1):
+        owner: dict[bytes, int] = {}
+        for i, m in enumerate(group):
+            if common[i] < window - k:
+                owner = {}
+            if m.low <= k <= m.high:
+                left = m.left[m.high - k :]
+                e = owner.setdefault(left, i)
+                if e != i:
+                    if (m.doc, m.first) < (group[e].doc, group[e].first):
+                        owner[left] = i
+                        seen[e] |= 1 << k
+                    else:
+                        seen[i] |= 1 << k
+    for m, bits in zip(group, seen, strict=True):
+        while bits:
+            low = (bits & -bits).bit_length() - 1
+            high = low + ((bits >> low) + 1 & ~(bits >> low)).bit_length() - 2
+            yield m.run, m.first + m.high - high, m.first + m.high - low
+            bits &= ~((1 << high + 1) - 1)
+
+
+def repeated_windows(streams: list[_Stream], window: int, gram: int) -> Iterator[tuple[int, int, int]]:
+    """:func:`repeats` of every group of suffixes with one anchor gram, as the merge brings them.
+
+    Of equal suffixes with equal left texts only the earliest is held, so a group takes the memory of its
+    different members, however many copies pass by.
+    """
     group: list[_Member] = []
+    commons: list[int] = []
+    same: dict[bytes, int] = {}
     for common, stream in merge(streams):
         m = _Member(stream)
-        need = digest if len(m.suffix) == digest else gram
-        if group and (common < need or (len(group[0].suffix) == digest) != (need == digest)):
+        size = len(m.suffix)
+        if group and (common < (DIGEST if size == DIGEST else gram) or (len(group[-1].suffix) == DIGEST) != (size == DIGEST)):
             if len(group) > 1:
-                yield group
-            group = []
+                yield from repeats(group, commons, window)
+            group, commons = [], []
+        if group and common == size == len(group[-1].suffix):
+            at = same.get(m.left)
+            if at is not None:
+                if (m.doc, m.first) < (group[at].doc, group[at].first):
+                    group[at], m = m, group[at]
+                yield m.run, m.first, m.first + m.windows - 1
+                continue
+        else:
+            same = {}
+        same[m.left] = len(group)
+        commons.append(common if group else 0)
         group.append(m)
     if len(group) > 1:
-        yield group
+        yield from repeats(group, commons, window)
 
 
 DIGEST = 16
 
 
 class SuffixDedup:
-    """The steps of the exchange; ``run_bytes`` and ``wide`` set sizes only, never the result."""
+    """The steps of the exchange; ``run_bytes`` and ``wide`` set sizes only, never the result.
 
-    def __init__(self, window: int = 100, gram: int = 32, run_bytes: int = 6 << 20, wide: int = 20_000):
+    An anchor gram with over ``wide`` different stretches in the corpus is no group of one bucket: its
+    windows are dealt one by one, by digests of 16 bytes, and of equal digests only the earliest is held.
+    """
+
+    def __init__(self, window: int = 100, gram: int = 32, run_bytes: int = 6 << 20, wide: int = 2_000):
         assert DIGEST < gram <= window <= 120
         self.window, self.gram, self.run_bytes, self.wide = window, gram, run_bytes, wide
 
@@ -328,7 +358,7 @@ class SuffixDedup:
             times = np.diff(np.append(at, len(grams)))
             marks = (np.minimum(kinds, 0x7FFF) | np.where(times > 1, 0x8000, 0)).astype("<u2")
             grams = grams[at]
-            return _dealt(key[0].as_py(), _bucket(grams, runs), lambda i: (grams[i].tobytes(), marks[i].tobytes()), runs)
+            return _dealt(key[0].as_py(), _bucket(grams, runs), lambda i: (grams[i].tobytes(), marks[i].tobytes()))
 
         def repeated(key: tuple, table: pa.Table) -> pa.Table:
             """The grams of a bucket that come twice in the corpus, back to the runs that have them."""
@@ -372,7 +402,7 @@ class SuffixDedup:
             doc = run.ids[np.searchsorted(run.starts, first[take], side="right") - 1] if len(take) else _NONE
             data = run.text.tobytes()
             seen: set[bytes] = set()
-            items: list[list[tuple]] = [[] for _ in range(runs)]
+            items: dict[int, list[tuple]] = {}  # a bucket that gets nothing costs nothing
             local: list[tuple[int, int]] = []
             rows = zip(first[take].tolist(), last[take].tolist(), at[take].tolist(), doc.tolist(), _bucket(grams[take], runs).tolist(), hot.tolist(), strict=True)
             for a, b, anchor, d, bucket, split in rows:
@@ -388,19 +418,19 @@ class SuffixDedup:
                             local.append((p, p))
                         else:
                             seen.add(digest)
-                            items[int.from_bytes(digest[:4], "big") * runs >> 32].append((digest, b"", p, 1, d))
+                            items.setdefault(int.from_bytes(digest[:4], "big") * runs >> 32, []).append((digest, b"", p, 1, d))
                 else:
-                    items[bucket].append((data[anchor : b + window], data[a:anchor], a, b - a + 1, d))
+                    items.setdefault(bucket, []).append((data[anchor : b + window], data[a:anchor], a, b - a + 1, d))
             out: dict[str, list] = {"bucket": [], "run": [], "a": [], "b": []}
             number = key[0].as_py()
             if local:
                 for name, x in zip(out, (number % runs, number, None, np.array(local, np.int64).tobytes()), strict=True):
                     out[name].append(x)
-            for bucket, found in enumerate(items):
-                if found:
-                    found.sort(key=lambda x: x[0])
-                    for name, x in zip(out, (bucket, number, front_code(found), None), strict=True):
-                        out[name].append(x)
+            for bucket, found in sorted(items.items()):
+                found.sort(key=lambda x: x[0])
+                for name, x in zip(out, (bucket, number, front_code(found), None), strict=True):
+                    out[name].append(x)
+                found.clear()
             return pa.table([pa.array(out[f.name], f.type) for f in BLOBS], schema=BLOBS)
 
         def merged(key: tuple, table: pa.Table) -> pa.Table:
@@ -415,9 +445,8 @@ class SuffixDedup:
                 if known is not None:
                     for name, x in zip(out, (0, run, None, known), strict=True):
                         out[name].append(x)
-            for group in _groups(streams, gram, DIGEST) if len(streams) else ():
-                for run, a, b in repeats(group, window):
-                    found.setdefault(run, []).append((a, b))
+            for run, a, b in repeated_windows(streams, window, gram) if streams else ():
+                found.setdefault(run, []).append((a, b))
             for run, spans in found.items():
                 for name, x in zip(out, (0, run, None, np.array(spans, np.int64).tobytes()), strict=True):
                     out[name].append(x)
@@ -444,13 +473,13 @@ BLOBS = pa.schema([("bucket", pa.int64()), ("run", pa.int64()), ("a", pa.binary(
 BLOBS_DDL = "bucket long, run long, a binary, b binary"
 
 
-def _dealt(run: int, bucket: np.ndarray, blobs, buckets: int) -> pa.Table:
-    """Rows (bucket, run, a, b) of ascending ``bucket`` values' slices."""
-    edges = np.searchsorted(bucket, np.arange(buckets + 1))
+def _dealt(run: int, bucket: np.ndarray, blobs) -> pa.Table:
+    """Rows (bucket, run, a, b) of ascending ``bucket`` values' slices; at most one for each value."""
+    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else _NONE
     rows: dict[str, list] = {"bucket": [], "run": [], "a": [], "b": []}
-    for i in np.flatnonzero(np.diff(edges)).tolist():
-        a, b = blobs(slice(edges[i], edges[i + 1]))
-        for name, x in zip(rows, (i, run, a, b), strict=True):
+    for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        a, b = blobs(slice(i, j))
+        for name, x in zip(rows, (int(bucket[i]), run, a, b), strict=True):
             rows[name].append(x)
     return pa.table([pa.array(rows[f.name], f.type) for f in BLOBS], schema=BLOBS)
 
@@ -501,8 +530,8 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: repeated passages go, what is left of each document stays.
 
-    A document of which nothing is left goes.  ``n_chars`` follows the text; other columns travel
-    with their row.
+    A document of which nothing is left goes; null and short texts stay.  ``n_chars`` follows the text;
+    other columns travel with their row.  A character of which one byte goes is left out whole.
     """
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     named = docs.select("doc_id", "text", *[F.col(c).alias(f"other_{c}") for c in others])

@@ -295,3 +295,14 @@ def test_fingerprint_by_hand():
     want = sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > 4)
     assert int.from_bytes(simhash.fingerprint(simhash.shingle_hashes(text, 3), 64), "big") == want
     assert simhash.shingle_hashes("Ab c", 3).tolist() == [xxhash.xxh64_intdigest("ab c", 42)] and simhash.fingerprint(simhash.shingle_hashes(" ", 3), 64) == bytes(8)
+
+
+def test_suffix_groups_of_many(spark):
+    rng = random.Random(21)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(230))
+    rest = lambda n: "".join(rng.choice("stuvwxyz ") for _ in range(n))
+    rows = [(i, rest(rng.randint(0, 90)) + line[rng.randint(0, 40) : 230 - rng.randint(0, 40)] + rest(rng.randint(0, 90))) for i in range(70)]
+    rows += [(100 + i, rows[i][1]) for i in range(20)]
+    for sizes in ({"run_bytes": 2000}, {"run_bytes": 1 << 20}):
+        assert sorted(tuple(r) for r in suffix_dedup.removal_report(make(spark, rows), **sizes).collect()) == brute_removed(rows)
+    assert suffix_dedup.removal_report(make(spark, [])).count() == 0
