@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarrygraph.functions.text import count_of
 
@@ -57,24 +58,28 @@ def network(weights: dict[str, np.ndarray], epsilon: float = 1e-5) -> Callable:
     return forward
 
 
+def of_kinds(rows: DataFrame, column: str, kinds: tuple[str, ...]) -> DataFrame:
+    """Rows whose kind is one of the wanted."""
+    return rows.where(F.col(column).isin(*kinds))
+
+
+def class_weights(rows: DataFrame, label: str) -> DataFrame:
+    """``(label, weight)``: rows over classes times the class's rows, so that all classes weigh the same."""
+    counts = rows.groupBy(label).agg(F.count("*").alias("n"))
+    every = Window.partitionBy(F.lit(0))  # over one row a class
+    return counts.select(label, (F.sum("n").over(every) / (F.count("*").over(every) * F.col("n"))).alias("weight"))
+
+
 def train(rows: DataFrame, features: str = "features", label: str = "label"):
     """A multinomial classifier on ``array<double>`` features with balanced class weights, fitted distributed."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
-    counts = rows.groupBy(label).agg(F.count("*").alias("n"))
-    classes = counts.count()
-    balance = counts.withColumn("weight", F.sum("n").over(_all()) / (classes * F.col("n"))).select(label, "weight")
+    balance = class_weights(rows, label)
     ready = rows.join(F.broadcast(balance), label).select(array_to_vector(F.col(features)).alias("x"), F.col(label).cast("double").alias("y"), "weight")
     return LogisticRegression(featuresCol="x", labelCol="y", weightCol="weight", regParam=0.02, maxIter=60).fit(ready)
 
 
-def _all():
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy(F.lit(0))  # over one row a class
-
-
 def class_report(rows: DataFrame, label: str, predicted: str) -> DataFrame:
     """``(label, precision, recall, f1, support)`` from one pass of confusion counts."""
     pairs = rows.groupBy(F.col(label).alias("y"), F.col(predicted).alias("p")).agg(F.count("*").alias("n"))

@@ -1,42 +1,28 @@
-"""The engine's operators applied to the driver's tables, each with its SQL statement."""
+"""The engine's operators applied to the driver's tables, each with its SQL statement: texts, graph, search."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrygraph.functions import intent, text, vector
-from quarrygraph.operators import evaluate, graph, lexical
-from quarrygraph.operators.components import connected_components
+from quarrygraph.functions import intent, parsing, text, vector
+from quarrygraph.operators import components, dense, extraction, graph, intents, lexical, resolution, retrieval
 from quarrygraph.operators.ranking import top_k
-from quarrygraph.sources.tables import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    def register(f: Callable) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
+from quarrygraph.plans.register import query
+from quarrygraph.sources import corpora
+from quarrygraph.sources.tables import cut, table
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    """Line items as relation triples: an order is a chunk, part and supplier are its nodes, the return flag the context."""
+    """Line items as relation triples: an order is a chunk, part and supplier are its nodes, the return flag the context; some have no relation text."""
     return table(spark, d, "lineitem").select(
         F.col("l_returnflag").alias("context_id"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("node_1"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("node_2"),
-        F.col("l_linestatus").alias("edge"), F.col("l_orderkey").alias("chunk_id"), F.col("l_linenumber").cast("long").alias("line"),
+        F.when(F.col("l_partkey") % 5 > 0, F.col("l_linestatus")).alias("edge"), F.col("l_orderkey").alias("chunk_id"), F.col("l_linenumber").cast("long").alias("line"),
     )
 
 
-EDGES = "e AS (SELECT l_returnflag context_id, 'P' || l_partkey node_1, 'S' || l_suppkey node_2, l_linestatus edge, l_orderkey chunk_id, CAST(l_linenumber AS BIGINT) line FROM lineitem)"
+EDGES = "e AS (SELECT l_returnflag context_id, 'P' || l_partkey node_1, 'S' || l_suppkey node_2, CASE WHEN l_partkey % 5 > 0 THEN l_linestatus END edge, l_orderkey chunk_id, CAST(l_linenumber AS BIGINT) line FROM lineitem)"
 
 
 @query("SELECT doc_id AS chunk_id, source || ' information: ' || text AS content FROM documents")
@@ -44,24 +30,36 @@ def chunk_project(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), text.prefixed(F.col("source"), F.col("text")).alias("content"))
 
 
-@query("SELECT source, lang, min(doc_id) AS doc_id FROM documents GROUP BY source, lang")
+@query("SELECT source AS context_id, lang AS title, min(doc_id) AS pos FROM documents GROUP BY source, lang")
 def title_dedup(spark, d):
-    return table(spark, d, "documents").groupBy("source", "lang").agg(F.min("doc_id").alias("doc_id"))
+    rows = table(spark, d, "documents").select(F.col("source").alias("context_id"), F.col("lang").alias("title"), F.col("doc_id").alias("pos"))
+    return corpora.first_titles(rows)
 
 
-@query("SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS chunk_no FROM documents")
+@query(
+    "WITH p AS (SELECT source, lang, doc_id, string_split(text, chr(10)) parts FROM documents), e AS (SELECT source, lang, doc_id, unnest(parts) piece, generate_subscripts(parts, 1) part FROM p) "
+    "SELECT source AS context_id, row_number() OVER (ORDER BY source, doc_id, part) - 1 AS chunk_id, lang AS title, lang || ' information: ' || piece AS text FROM e"
+)
 def seq_chunk_id(spark, d):
-    return table(spark, d, "documents").select("doc_id", (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("long").alias("chunk_no"))
+    """Paragraphs cut at line ends, numbered without gaps over (context, paragraph, part)."""
+    rows = table(spark, d, "documents").select(F.col("source").alias("context_id"), F.col("doc_id").alias("pos"), F.col("lang").alias("title"), "text")
+    return corpora.number_chunks(rows, lambda t: F.split(t, "\n"))
 
 
-@query("SELECT doc_id, coalesce(nullif(lang, 'en'), 'default') AS resolved FROM documents")
+@query("SELECT doc_id, coalesce(l.text, d.text) AS resolved_text FROM documents d LEFT JOIN (SELECT item_id, text FROM benchmark) l ON d.doc_id = l.item_id")
 def coalesce_resolved(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.coalesce(F.nullif(F.col("lang"), F.lit("en")), F.lit("default")).alias("resolved"))
+    """Chunks with their resolved text where a resolver gave one (here for the ids of the benchmark)."""
+    resolved = table(spark, d, "benchmark").select(F.col("item_id").alias("chunk_id"), F.col("text").alias("resolved_text"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return extraction.resolved_text(docs, resolved).select(F.col("chunk_id").alias("doc_id"), "resolved_text")
 
 
-@query("SELECT doc_id, n_chars FROM documents WHERE source = 'src3'")
+@query("SELECT doc_id, n_chars, 'src3' AS asked FROM documents WHERE source = 'src3' UNION ALL SELECT doc_id, n_chars, 'Global' FROM documents")
 def context_mask(spark, d):
-    return table(spark, d, "documents").where("source = 'src3'").select("doc_id", "n_chars")
+    """The rows of one context, and those of the global one."""
+    docs = table(spark, d, "documents").select("doc_id", "n_chars", F.col("source").alias("context_id"))
+    both = [retrieval.in_context(docs, c).select("doc_id", "n_chars", F.lit(c).alias("asked")) for c in ("src3", "Global")]
+    return both[0].unionByName(both[1])
 
 
 @query("SELECT d.doc_id, e.label, coalesce(len(e.embedding), 0) AS dim FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id")
@@ -80,25 +78,111 @@ def anti_visited(spark, d):
     return table(spark, d, "documents").select("doc_id", "n_chars").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
-@query("SELECT o_orderkey, coalesce(l_linestatus, 'NONE') AS mode FROM orders LEFT JOIN (SELECT l_orderkey, max(l_linestatus) l_linestatus FROM lineitem WHERE l_linenumber = 7 GROUP BY 1) ON o_orderkey = l_orderkey")
-def mapping_left_default(spark, d):
-    m = table(spark, d, "lineitem").where("l_linenumber = 7").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_linestatus").alias("m"))
-    return table(spark, d, "orders").select("o_orderkey").join(m, "o_orderkey", "left").select("o_orderkey", F.coalesce("m", F.lit("NONE")).alias("mode"))
+MENTIONS = (
+    "m AS (SELECT vec_id ord, 'c' || (vec_id % 3) context_id, vec_id // 7 chunk_id, CASE label % 3 WHEN 0 THEN 'Person' WHEN 1 THEN 'Concept' ELSE 'Other' END category, "
+    "p_name || CASE vec_id % 7 WHEN 0 THEN ' Jr.' WHEN 1 THEN ' SR' ELSE '' END entity, [p_brand, CASE WHEN vec_id % 2 = 0 THEN p_type ELSE p_brand END] synonyms, "
+    "CASE WHEN vec_id % 5 = 0 THEN '-1' ELSE p_type END description, embedding FROM embeddings JOIN part ON p_partkey = vec_id % 180 + 1)"
+)
+RADII = {"Person": 0.70, "Concept": 0.72}
+
+
+def _mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as mentions of entities: the parts' names, some with a generation, in three contexts and categories."""
+    e, p = table(spark, d, "embeddings"), table(spark, d, "part")
+    i = F.col("vec_id")
+    return e.join(p, p.p_partkey == i % 180 + 1).select(
+        i.alias("ord"), F.concat(F.lit("c"), (i % 3).cast("string")).alias("context_id"), F.floor(i / 7).alias("chunk_id"),
+        F.when(F.col("label") % 3 == 0, "Person").when(F.col("label") % 3 == 1, "Concept").otherwise("Other").alias("category"),
+        F.concat("p_name", F.when(i % 7 == 0, " Jr.").when(i % 7 == 1, " SR").otherwise("")).alias("entity"),
+        F.array("p_brand", F.when(i % 2 == 0, F.col("p_type")).otherwise(F.col("p_brand"))).alias("synonyms"),
+        F.when(i % 5 == 0, "-1").otherwise(F.col("p_type")).alias("description"), F.col("embedding").alias("vector"),
+    )
 
 
-@query("SELECT l_returnflag AS context_id, array_to_string(list_sort(list_distinct(list(l_linestatus))), ' | ') AS synonyms FROM lineitem GROUP BY 1")
+@query(
+    f"WITH {MENTIONS}, x AS (SELECT context_id, entity, category, ord, unnest(list_append(synonyms, entity)) s FROM m) "
+    "SELECT *, 'Entity: ' || entity || '. synonyms: ' || synonyms AS rich_text FROM (SELECT context_id, entity, category, min(ord) AS ord, array_to_string(list_sort(list_distinct(list(s))), ' | ') AS synonyms FROM x GROUP BY ALL)"
+)
 def rich_synonyms(spark, d):
-    return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("context_id")).agg(F.array_join(F.array_sort(F.collect_set("l_linestatus")), " | ").alias("synonyms"))
+    return resolution.rich_entities(_mentions(spark, d))
+
+
+# Clusters, standard names and the persons' pass, then the mapping onto all mentions.
+GENERATION = "CASE WHEN category <> 'Person' THEN NULL WHEN entity LIKE '% Jr.' THEN 2 WHEN entity LIKE '% SR' THEN 1 END"
+CLEAN = r"lower(regexp_replace(regexp_replace(trim({0}), '(?i)\s+(Jr|Sr|Dr|Prof|King|Sultan|President|Queen|Princess)\b\.?', '', 'g'), '[^A-Za-z0-9]', '', 'g'))"
+STANDARD = (
+    f"{MENTIONS}, u AS (SELECT context_id, category, entity, min(ord) ord, arg_min(embedding, ord) e, {GENERATION} g, CASE category WHEN 'Person' THEN 0.70 WHEN 'Concept' THEN 0.72 ELSE 0.10 END radius FROM m GROUP BY context_id, category, entity), "
+    "p AS (SELECT a.ord x, b.ord y FROM u a JOIN u b USING (context_id, category) WHERE a.ord <> b.ord AND NOT coalesce(a.g <> b.g, false) AND round(1 - list_cosine_similarity(CAST(a.e AS DOUBLE[]), CAST(b.e AS DOUBLE[])), 6) < a.radius), "
+    "r(x, y) AS (SELECT ord, ord FROM u UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x), c AS (SELECT x ord, min(y) component FROM r GROUP BY x), "
+    "k AS (SELECT *, dense_rank() OVER (PARTITION BY context_id ORDER BY category, component) - 1 cluster_id FROM u JOIN c USING (ord)), "
+    "n AS (SELECT context_id, category, component, arg_min(entity, struct_pack(a := -length(entity), b := ord)) standard FROM k GROUP BY ALL), "
+    f"q AS (SELECT k.*, n.standard, {CLEAN.format('entity')} cl FROM k JOIN n USING (context_id, category, component)), "
+    "t AS (SELECT a.context_id, a.ord i, b.ord j, CASE WHEN length(a.entity) > length(b.entity) THEN a.entity ELSE b.entity END nw FROM q a JOIN q b ON a.context_id = b.context_id AND a.ord < b.ord AND a.category = 'Person' AND b.category = 'Person' "
+    "AND a.cl <> '' AND b.cl <> '' AND a.cl <> b.cl AND a.standard <> b.standard AND (contains(a.cl, b.cl) OR contains(b.cl, a.cl))), "
+    "l AS (SELECT ord, arg_max(nw, struct_pack(a := i, b := j)) nw FROM (SELECT i ord, i, j, nw FROM t UNION ALL SELECT j, i, j, nw FROM t) GROUP BY ord), "
+    "s AS (SELECT q.context_id, q.category, q.entity, coalesce(l.nw, q.standard) standard_entity, q.cluster_id FROM q LEFT JOIN l USING (ord))"
+)
+
+
+def _standardized(spark: SparkSession, d: str) -> DataFrame:
+    return resolution.standardize_entities(_mentions(spark, d), radii=RADII)
+
+
+@query(f"WITH RECURSIVE {STANDARD} SELECT m.ord, m.context_id, m.category, m.entity, s.standard_entity, CAST(s.cluster_id AS BIGINT) AS cluster_id FROM m JOIN s USING (context_id, category, entity)")
+def standardize_entities(spark, d):
+    return _standardized(spark, d).select("ord", "context_id", "category", "entity", "standard_entity", "cluster_id")
 
 
 @query(
-    "SELECT l_returnflag AS context_id, l_suppkey, min(l_orderkey) AS chunk_id, arg_min(l_partkey, struct_pack(a := l_orderkey, b := l_linenumber, c := l_partkey)) AS cluster_id, "
-    "array_to_string(list_sort(list_distinct(list(l_linestatus))), '. ') AS description FROM lineitem GROUP BY 1, 2"
+    f"WITH RECURSIVE {STANDARD}, v AS (SELECT m.*, s.standard_entity, s.cluster_id FROM m JOIN s USING (context_id, category, entity)), "
+    "y AS (SELECT context_id, standard_entity, category, array_to_string(list_sort(list_distinct(list(s))), '|') synonyms FROM (SELECT *, unnest(list_append(synonyms, entity)) s FROM v) GROUP BY ALL) "
+    "SELECT v.context_id, v.standard_entity, v.category, arg_min(chunk_id, ord) AS chunk_id, CAST(arg_min(cluster_id, ord) AS BIGINT) AS cluster_id, "
+    "coalesce(array_to_string(list_sort(list_distinct(list(description) FILTER (description <> '-1'))), '. '), '') AS description, any_value(y.synonyms) AS synonyms "
+    "FROM v JOIN y USING (context_id, standard_entity, category) GROUP BY ALL"
 )
 def merge_concepts(spark, d):
-    return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("context_id"), "l_suppkey").agg(
-        F.min("l_orderkey").alias("chunk_id"), F.min_by("l_partkey", F.struct("l_orderkey", "l_linenumber", "l_partkey")).alias("cluster_id"), F.array_join(F.array_sort(F.collect_set("l_linestatus")), ". ").alias("description")
+    return resolution.merge_concepts(_standardized(spark, d)).withColumn("synonyms", F.array_join("synonyms", "|"))
+
+
+@query(
+    f"WITH RECURSIVE {STANDARD}, v AS (SELECT m.context_id, m.chunk_id, m.entity, arg_max(s.standard_entity, m.ord) st FROM m JOIN s USING (context_id, category, entity) GROUP BY ALL) "
+    "SELECT context_id, chunk_id, string_agg(entity || '>' || st, '|' ORDER BY entity) AS names FROM v GROUP BY ALL"
+)
+def entity_map(spark, d):
+    """What a chunk's mentions stand for, written out in order."""
+    found = resolution.entity_map(_standardized(spark, d))
+    pairs = F.transform(F.array_sort(F.map_entries("names")), lambda e: F.concat(e["key"], F.lit(">"), e["value"]))
+    return found.select("context_id", "chunk_id", F.array_join(pairs, "|").alias("names"))
+
+
+@query(
+    "WITH x AS (SELECT l_orderkey o, max(l_suppkey) standard_entity, max(l_partkey) cluster_id FROM (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC) = 1) GROUP BY 1) "
+    "SELECT o_orderkey AS ord, o_orderstatus AS context_id, o_orderpriority AS category, CAST(o_orderkey // 2 * 2 AS VARCHAR) AS entity, "
+    "coalesce(CAST(x.standard_entity AS VARCHAR), CAST(o_orderkey // 2 * 2 AS VARCHAR)) AS standard_entity, coalesce(x.cluster_id, -1) AS cluster_id FROM orders LEFT JOIN x ON x.o = o_orderkey // 2 * 2 AND o_orderstatus <> 'P'"
+)
+def mapping_left_default(spark, d):
+    """Mentions onto a mapping with repeated keys (the last counts) and without some (the name itself and -1)."""
+    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
+    key = (F.floor(F.col("o_orderkey") / 2) * 2).cast("string")
+    mentions = o.select(F.col("o_orderkey").alias("ord"), F.col("o_orderstatus").alias("context_id"), F.col("o_orderpriority").alias("category"), key.alias("entity"))
+    every = mentions.select("context_id", "category", "entity").distinct().where("context_id <> 'P'")
+    last = F.struct("l_linenumber", "l_partkey")
+    mapping = li.select(F.col("l_orderkey").cast("string").alias("entity"), last.alias("ord"), F.col("l_suppkey").cast("string").alias("standard_entity"), F.col("l_partkey").alias("cluster_id")).join(every, "entity")
+    return resolution.apply_mapping(mentions, mapping)
+
+
+@query(
+    "WITH e AS (SELECT event_id, user_id, nullif(event_type, 'view') a, CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_type END b, CASE WHEN event_id % 3 = 0 THEN 'x' || event_id ELSE CAST(event_id AS VARCHAR) END c FROM events) "
+    "SELECT CAST(user_id AS VARCHAR) AS context_id, a AS node_1, b AS node_2, CAST(NULL AS VARCHAR) AS edge, TRY_CAST(c AS BIGINT) AS chunk_id FROM e WHERE a IS NOT NULL AND b IS NOT NULL"
+)
+def conform_edges(spark, d):
+    """Loose edges brought to the fixed columns: blanks to null, a missing column, chunk ids that are no numbers."""
+    i = F.col("event_id")
+    rows = table(spark, d, "events").select(
+        F.col("user_id").alias("context_id"), F.when(F.col("event_type") == "view", " ").otherwise(F.col("event_type")).alias("node_1"),
+        F.when(i % 4 != 0, F.col("event_type")).alias("node_2"), F.when(i % 3 == 0, F.concat(F.lit("x"), i)).otherwise(i.cast("string")).alias("chunk_id"),
     )
+    return graph.conform_edges(rows)
 
 
 COOCCURRENCE = (
@@ -122,16 +206,16 @@ def implicit_score(spark, d):
 
 
 HYBRID = (
-    SCORED + ", b AS (SELECT node_1, node_2, context_id, CAST(chunk_id AS VARCHAR) chunk_id, edge, chunk_id * 10 + line ord, CAST(NULL AS DOUBLE) score FROM e "
-    "UNION ALL SELECT node_1, node_2, context_id, unnest(string_split(chunk_id, ',')), NULL, NULL, implicit_score FROM s), "
+    SCORED + ", b AS (SELECT node_1, node_2, context_id, CAST(chunk_id AS VARCHAR) chunk_id, edge, chunk_id * 10 + line ord, CAST(NULL AS DOUBLE) score, true explicit FROM e "
+    "UNION ALL SELECT node_1, node_2, context_id, unnest(string_split(chunk_id, ',')), NULL, NULL, implicit_score, false FROM s), "
     "h AS (SELECT least(node_1, node_2) u, greatest(node_1, node_2) v, list_sort(list_distinct(list(chunk_id))) chunk_ids, list_sort(list_distinct(list(context_id))) context_ids, "
-    "arg_min(edge, CASE WHEN edge IS NULL THEN NULL ELSE struct_pack(a := ord, b := edge) END) relation, max(score) implicit_score, bool_or(edge IS NOT NULL) is_explicit FROM b GROUP BY 1, 2)"
+    "CASE WHEN bool_or(explicit) THEN min(struct_pack(a := ord, b := edge)) FILTER (explicit).b ELSE 'co-occurs with' END relation, max(score) implicit_score, bool_or(explicit) is_explicit FROM b GROUP BY 1, 2)"
 )
 
 
 def _hybrid(spark: SparkSession, d: str) -> DataFrame:
     edges = _edges(spark, d).withColumn("ord", F.col("chunk_id") * 10 + F.col("line"))
-    return graph.hybrid_edges(edges, graph.implicit_score(graph.cooccurrence(edges)))
+    return graph.hybrid_edges(edges, graph.implicit_score(graph.cooccurring(edges)))
 
 
 @query(f"WITH {HYBRID} SELECT u, v, array_to_string(chunk_ids, ',') AS chunk_ids, array_to_string(context_ids, ',') AS context_ids, relation, round(implicit_score, 6) AS implicit_score, is_explicit FROM h")
@@ -165,12 +249,8 @@ def expand_neighbors(spark, d):
 def khop(spark, d):
     """Nodes within two hops of one supplier, breadth first with a visited set."""
     e = _edges(spark, d).where("context_id = 'R'")
-    adj = e.select(F.col("node_1").alias("u"), F.col("node_2").alias("v")).union(e.select("node_2", "node_1")).distinct()
-    visited = frontier = spark.createDataFrame([("S1", 0)], "node string, hop int")
-    for hop in (1, 2):
-        frontier = adj.join(frontier, adj.u == frontier.node).select(F.col("v").alias("node")).distinct().join(visited.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop))
-        visited = visited.union(frontier)
-    return visited
+    adj = e.select(F.col("node_1").alias("u"), F.col("node_2").alias("v")).union(e.select("node_2", "node_1"))
+    return graph.reach(adj, spark.range(1).select(F.lit("S1").alias("node")), 2)
 
 
 @query("SELECT label, vec_id, CAST(dense_rank() OVER (PARTITION BY label ORDER BY vec_id // 50) - 1 AS BIGINT) AS cluster_id FROM embeddings")
@@ -189,20 +269,19 @@ COS = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS
 def cluster_components(spark, d):
     """Single linkage inside a block, cut at a radius: components of the pairs closer than it."""
     e = table(spark, d, "embeddings")
-    a, b = e.select("label", F.col("vec_id").alias("x"), F.col("embedding").alias("ex")), e.select("label", F.col("vec_id").alias("y"), F.col("embedding").alias("ey"))
-    near = a.join(b, "label").where("x < y").where(F.round(1 - vector.cosine(F.col("ex"), F.col("ey")), 6) < 0.72)
-    found = connected_components(near, "x", "y")
+    links = dense.close_links(e.withColumn("radius", F.lit(0.72)), ["label"], key="vec_id", vector="embedding")
+    found = components.connected_components(links)
     return e.join(found, e.vec_id == found.node, "left").select("vec_id", F.coalesce("component", "vec_id").alias("component"))
 
 
 @query(
-    f"SELECT * FROM (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, round({COS}, 6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({COS}, 6) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id < 5) WHERE rank <= 10"
+    f"SELECT * FROM (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, round({COS}, 6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({COS}, 6) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0) WHERE rank <= 10"
 )
 def cosine_topk_global(spark, d):
+    """Every vector whose id is divisible by 100 against all vectors."""
     e = table(spark, d, "embeddings")
-    q = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    rows = e.join(F.broadcast(q)).select("query_id", "vec_id", F.round(vector.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
-    return top_k(rows, 10, ["query_id"], [F.desc("score"), F.asc("vec_id")])
+    found = dense.dense_top_k(e, e.where("vec_id % 100 = 0"), 10, (("embedding", "embedding", 1.0),), item_key="vec_id", query_key="vec_id")
+    return found.withColumnRenamed("id", "vec_id")
 
 
 TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
@@ -225,119 +304,70 @@ def bm25(spark, d):
     return top_k(_bm25(spark, d).withColumn("score", F.round("score", 6)), 10, ["query_id"], [F.desc("score"), F.asc("id")])
 
 
-@query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text))")
-def theta_contains(spark, d):
-    """Containment join: a broadcast of the bounded question set against one pass of the texts."""
-    q = table(spark, d, "benchmark").select("item_id", F.lower("text").alias("q"))
-    docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("t"))
-    return docs.join(F.broadcast(q), F.contains("t", "q")).select("item_id", "doc_id")
-
-
 @query(
-    f"WITH {BM25}, x AS (SELECT item_id query_id, doc_id id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text))), "
-    "v AS (SELECT b.item_id query_id, e2.vec_id id, list_cosine_similarity(CAST(e1.embedding AS DOUBLE[]), CAST(e2.embedding AS DOUBLE[])) cos FROM benchmark b JOIN embeddings e1 ON e1.vec_id = b.item_id, embeddings e2), "
-    "f AS (SELECT bm.query_id, bm.id, round(0.65 * coalesce(cos, 0) + 0.15 * (x.id IS NOT NULL)::INT + 0.20 * score / max(score) OVER (PARTITION BY bm.query_id), 6) AS score FROM bm LEFT JOIN x ON bm.query_id = x.query_id AND bm.id = x.id "
-    "LEFT JOIN v ON bm.query_id = v.query_id AND bm.id = v.id) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= 10"
+    f"WITH d AS (SELECT source, doc_id, {TOKENS} k FROM documents), q AS (SELECT 'src' || (item_id % 16) source, item_id query_id, {TOKENS} k FROM benchmark), t AS (SELECT source, doc_id id, unnest(k) t FROM d), "
+    "tf AS (SELECT source, id, t, count(*) tf FROM t GROUP BY ALL), c AS (SELECT source, count(*) n, avg(len(k)) avgdl FROM d GROUP BY source), "
+    "idf AS (SELECT source, t, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) idf FROM tf JOIN c USING (source) GROUP BY ALL), f AS (SELECT source, 0.25 * avg(idf) floor FROM idf GROUP BY source), "
+    "w AS (SELECT source, query_id, t, count(*) * CASE WHEN any_value(idf) < 0 THEN any_value(floor) ELSE any_value(idf) END w FROM (SELECT source, query_id, unnest(k) t FROM q) JOIN idf USING (source, t) JOIN f USING (source) GROUP BY ALL) "
+    "SELECT source, query_id, id, round(sum(w * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(d.k) / avgdl))), 6) AS score FROM tf JOIN w USING (source, t) JOIN c USING (source) JOIN d ON d.doc_id = tf.id GROUP BY source, query_id, id"
 )
-def fused_link(spark, d):
-    """Entity linking: two dense signals (one vector here), exact containment and BM25, fused and ranked."""
-    e = table(spark, d, "embeddings")
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id")).join(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
-    lexical_hits = _bm25(spark, d).withColumn("lex", F.col("score") / F.max("score").over(Window.partitionBy("query_id")))
-    exact = theta_contains(spark, d).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id"), F.lit(1).alias("exact"))
-    rows = lexical_hits.join(exact, ["query_id", "id"], "left").join(q, "query_id", "left").join(e.select(F.col("vec_id").alias("id"), "embedding"), "id", "left")
-    dense = F.coalesce(vector.cosine(F.col("q"), F.col("embedding")), F.lit(0.0))
-    fused = F.round(0.65 * dense + 0.15 * F.coalesce("exact", F.lit(0)) + 0.20 * F.col("lex"), 6)
-    return top_k(rows.select("query_id", "id", fused.alias("score")), 10, ["query_id"], [F.desc("score"), F.asc("id")])
-
-
-NORMAL = r"array_to_string(list_filter(string_split(regexp_replace(regexp_replace(trim(replace(replace(replace(lower({0}), ' until ', '-'), ' to ', '-'), ' and ', ', ')), '[!-/:-@\[-`{{-~]', '', 'g'), '\s+', ' ', 'g'), ' '), lambda x: x NOT IN ('', 'a', 'an', 'the')), ' ')"
-
-
-@query(f"SELECT item_id, {NORMAL.format('text')} AS answer FROM benchmark")
-def normalize_answer(spark, d):
-    return table(spark, d, "benchmark").select("item_id", text.normalize_answer(F.col("text")).alias("answer"))
-
-
-PAIRS = "p AS (SELECT a.conv_id, a.turn, a.text gold_answer, b.text pred_answer, a.role intent FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
-
-
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "conversations")
-    after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("pred_answer"))
-    return c.select("conv_id", "turn", F.col("text").alias("gold_answer"), F.col("role").alias("intent")).join(after, ["conv_id", "turn"])
-
-
-F1 = (
-    PAIRS + f", k AS (SELECT conv_id, turn, intent, string_split({NORMAL.format('pred_answer')}, ' ') a, string_split({NORMAL.format('gold_answer')}, ' ') b FROM p), "
-    "u AS (SELECT conv_id, turn, t, sum(x) x, sum(y) y FROM (SELECT conv_id, turn, unnest(a) t, 1 x, 0 y FROM k UNION ALL SELECT conv_id, turn, unnest(b), 0, 1 FROM k) WHERE t <> '' GROUP BY ALL), "
-    "g AS (SELECT conv_id, turn, sum(least(x, y)) s, sum(x) np, sum(y) ng FROM u GROUP BY ALL), "
-    "f AS (SELECT k.conv_id, k.turn, k.intent, CASE WHEN coalesce(s, 0) = 0 THEN 0 ELSE 2.0 * s / (np + ng) END f1 FROM k LEFT JOIN g USING (conv_id, turn))"
-)
-
-
-@query(f"WITH {F1} SELECT conv_id, turn, round(f1, 6) AS f1 FROM f")
-def token_f1(spark, d):
-    return evaluate.token_scores(_pairs(spark, d), ["conv_id", "turn"], "pred_answer", "gold_answer").select("conv_id", "turn", F.round("f1", 6).alias("f1"))
-
+def bm25_by_context(spark, d):
+    """Each source is a corpus of its own, each question asks one."""
+    docs = table(spark, d, "documents").select("source", F.col("doc_id").alias("id"), "text")
+    asked = table(spark, d, "benchmark").select(F.concat(F.lit("src"), (F.col("item_id") % 16).cast("string")).alias("source"), F.col("item_id").alias("query_id"), "text")
+    return lexical.bm25(docs, asked, by=["source"]).withColumn("score", F.round("score", 6))
 
-@query(f"WITH {F1} SELECT intent, count(*) AS n, round(avg(f1), 6) AS f1 FROM f GROUP BY GROUPING SETS ((), (intent))")
-def eval_grouping_sets(spark, d):
-    rows = evaluate.token_scores(_pairs(spark, d), ["conv_id", "turn", "intent"], "pred_answer", "gold_answer")
-    return rows.groupingSets([[], [F.col("intent")]], "intent").agg(F.count("*").alias("n"), F.round(F.avg("f1"), 6).alias("f1"))
 
-
-@query("SELECT doc_id, CAST((length(text) - length(replace(text, ' of ', ''))) // 4 AS BIGINT) AS n_of, CAST(contains(lower(text), ' than ')::INT + contains(lower(text), 'which')::INT AS INTEGER) AS n_rel FROM documents")
-def struct_features(spark, d):
-    t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", text.count_of(t, " of ").alias("n_of"), (F.contains(F.lower(t), F.lit(" than ")).cast("int") + F.contains(F.lower(t), F.lit("which")).cast("int")).alias("n_rel"))
-
-
-@query(
-    "WITH p AS (SELECT event_id, (event_id % 7) / 10.0 + 0.1 p0, (event_id % 5) / 10.0 + 0.1 p1, (event_id % 3) / 10.0 + 0.1 p2 FROM events), "
-    "m AS (SELECT event_id, CASE WHEN event_id % 2 = 0 AND event_id % 20 < 10 THEN p0 * 1.2 ELSE p0 END a, p1 b, CASE WHEN event_id % 3 = 0 THEN p2 * 0.1 ELSE p2 END c FROM p), "
-    "q AS (SELECT event_id, a / (a + b + c) a, b / (a + b + c) b, c / (a + b + c) c FROM m) "
-    "SELECT event_id, round(a, 6) AS p0, round(greatest(a, b, c), 6) AS top FROM q"
+@query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text))")
+def theta_contains(spark, d):
+    """Containment join of whole texts and all questions, by an index of each question's longest inner token."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    phrases = table(spark, d, "benchmark").select(F.col("item_id").alias("phrase_id"), F.col("text").alias("phrase"))
+    return lexical.containment(docs, phrases).select(F.col("phrase_id").alias("item_id"), F.col("id").alias("doc_id"))
+
+
+def _linkable(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as entities, named by two places of their text and described by the reversed vector; the benchmark as questions."""
+    docs, e = table(spark, d, "documents"), table(spark, d, "embeddings")
+    vectors = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("name_vector"), F.reverse("embedding").alias("desc_vector"))
+    names = F.array(F.substring(F.col("text"), 1, 7), F.substring(F.col("text"), 31, 24))
+    entities = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("context_id"), names.alias("names"), "text").join(vectors, "id", "left")
+    item = F.col("item_id")
+    queries = table(spark, d, "benchmark").select(item.alias("query_id"), F.concat(F.lit("src"), (item % 16).cast("string")).alias("context_id"), "text")
+    return entities, queries.join(vectors.withColumnRenamed("id", "query_id"), "query_id", "left")
+
+
+def _fused(local: bool) -> str:
+    """The statement of linking over all documents, or over those of a question's source."""
+    bm = BM25 if not local else ORACLE_LOCAL
+    here = " AND d.source = 'src' || (b.item_id % 16)" if local else ""
+    cos = lambda f: f"coalesce(list_cosine_similarity(CAST({f}(e1.embedding) AS DOUBLE[]), CAST({f}(e2.embedding) AS DOUBLE[])), 0)"
+    hit = lambda x: f"(length(trim(lower({x}))) >= 2 AND contains(lower(b.text), trim(lower({x}))))"
+    return (
+        f"WITH {bm}, mx AS (SELECT query_id, max(score) mx FROM bm GROUP BY 1), f AS (SELECT b.item_id query_id, d.doc_id id, round(0.25 * {cos('')} + 0.40 * {cos('list_reverse')} "
+        f"+ 0.15 * ({hit('substr(d.text, 1, 7)')} OR {hit('substr(d.text, 31, 24)')})::INT + 0.20 * coalesce(bm.score, 0) / CASE WHEN coalesce(mx, 0) > 0 THEN mx ELSE 1 END, 6) score "
+        f"FROM benchmark b JOIN documents d ON true{here} LEFT JOIN embeddings e1 ON e1.vec_id = b.item_id LEFT JOIN embeddings e2 ON e2.vec_id = d.doc_id LEFT JOIN bm ON bm.query_id = b.item_id AND bm.id = d.doc_id LEFT JOIN mx ON mx.query_id = b.item_id) "
+        "SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= 10"
+    )
+
+
+ORACLE_LOCAL = (
+    f"d0 AS (SELECT source, doc_id, {TOKENS} k FROM documents), q0 AS (SELECT 'src' || (item_id % 16) source, item_id query_id, {TOKENS} k FROM benchmark), tf AS (SELECT source, id, t, count(*) tf FROM (SELECT source, doc_id id, unnest(k) t FROM d0) GROUP BY ALL), "
+    "c AS (SELECT source, count(*) n, avg(len(k)) avgdl FROM d0 GROUP BY source), idf AS (SELECT source, t, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) idf FROM tf JOIN c USING (source) GROUP BY ALL), "
+    "fl AS (SELECT source, 0.25 * avg(idf) floor FROM idf GROUP BY source), w AS (SELECT source, query_id, t, count(*) * CASE WHEN any_value(idf) < 0 THEN any_value(floor) ELSE any_value(idf) END w FROM (SELECT source, query_id, unnest(k) t FROM q0) JOIN idf USING (source, t) JOIN fl USING (source) GROUP BY ALL), "
+    "bm AS (SELECT query_id, id, sum(w * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(d0.k) / avgdl))) score FROM tf JOIN w USING (source, t) JOIN c USING (source) JOIN d0 ON d0.doc_id = tf.id GROUP BY query_id, id)"
 )
-def weight_modulation(spark, d):
-    i = F.col("event_id")
-    m = intent.modulate((i % 7) / F.lit(10.0) + 0.1, (i % 5) / F.lit(10.0) + 0.1, (i % 3) / F.lit(10.0) + 0.1, i % 3, i % 2, i % 20)
-    return table(spark, d, "events").select("event_id", m.alias("m")).select("event_id", F.round("m.p0", 6).alias("p0"), F.round("m.top", 6).alias("top"))
-
 
-@query("SELECT toxic, round((SELECT count(*) FROM labels) / (2.0 * count(*)), 6) AS weight FROM labels GROUP BY toxic")
-def class_weights(spark, d):
-    labels = table(spark, d, "labels")
-    return labels.groupBy("toxic").agg(F.count("*").alias("n")).join(F.broadcast(labels.agg(F.count("*").alias("all")))).select("toxic", F.round(F.col("all") / (2.0 * F.col("n")), 6).alias("weight"))
 
-
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
-def json_safe_parse(spark, d):
-    return table(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
-
-
-@query(f"WITH {EDGES} SELECT node, count(*) AS n FROM (SELECT node_1 node FROM e UNION ALL SELECT node_2 FROM e) GROUP BY node")
-def unpivot_nodes(spark, d):
-    return _edges(spark, d).select(F.explode(F.array("node_1", "node_2")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
-
-
-@query("SELECT p_brand AS entity, arg_min(p_name, struct_pack(a := -length(p_name), b := p_partkey)) AS standard FROM part GROUP BY p_brand")
-def longest_standard(spark, d):
-    return table(spark, d, "part").groupBy(F.col("p_brand").alias("entity")).agg(F.min_by("p_name", F.struct(-F.length("p_name"), "p_partkey")).alias("standard"))
-
-
-@query(r"SELECT c_custkey, lower(replace(regexp_replace(c_name, '[^A-Za-z0-9\s]', '', 'g'), ' ', '')) AS cleaned FROM customer")
-def clean_entity(spark, d):
-    return table(spark, d, "customer").select("c_custkey", text.clean_entity(F.col("c_name")).alias("cleaned"))
+@query(_fused(False))
+def fused_link(spark, d):
+    """Entity linking of every question over all documents: two vectors, containment of names, BM25."""
+    return retrieval.link_entities(*_linkable(spark, d))
 
 
-@query("SELECT source, avg(n_chars) AS score FROM (SELECT source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) r FROM documents) WHERE r <= 5 GROUP BY source")
-def context_routing(spark, d):
-    """A context's score is the mean of its five best chunks."""
-    rows = top_k(table(spark, d, "documents").select("source", "doc_id", "n_chars"), 5, ["source"], [F.desc("n_chars"), F.asc("doc_id")])
-    return rows.groupBy("source").agg(F.avg("n_chars").alias("score"))
+@query(_fused(True))
+def fused_link_local(spark, d):
+    """The same inside each question's own context."""
+    return retrieval.link_entities(*_linkable(spark, d), local=True)
 
 
-@query()
-def edge_mask(spark, d):
-    return graph.mask_edges(_edges(spark, d), 0.4, 42, "chunk_id", "line")

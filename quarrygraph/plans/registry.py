@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-from quarrygraph.plans.queries import ORACLE_SQL, QUERIES
+from quarrygraph.plans import answering, queries, scoring  # noqa: F401  (they register themselves)
+from quarrygraph.plans.register import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

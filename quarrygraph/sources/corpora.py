@@ -39,9 +39,12 @@ def paired_paragraphs(items: DataFrame, unique_titles: bool = True) -> DataFrame
     """
     each = items.select("context_id", F.posexplode("context").alias("pos", "p")).where(F.size("p") >= 2)
     rows = each.select("context_id", "pos", F.col("p")[0].alias("title"), F.array_join(F.from_json(F.col("p")[1], "array<string>"), "").alias("text"))
-    if not unique_titles:
-        return rows
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy("context_id", "title").orderBy("pos"))).where("n = 1").drop("n")
+    return first_titles(rows) if unique_titles else rows
+
+
+def first_titles(paragraphs: DataFrame) -> DataFrame:
+    """Of the paragraphs of a context that share a title, the first by ``pos``."""
+    return paragraphs.withColumn("_n", F.row_number().over(Window.partitionBy("context_id", "title").orderBy("pos"))).where("_n = 1").drop("_n")
 
 
 def listed_paragraphs(items: DataFrame) -> DataFrame:
@@ -65,12 +68,12 @@ def number_chunks(paragraphs: DataFrame, split: Callable[[Column], Column] | Non
     return rows.join(before, "context_id").select("context_id", (F.col("before") + inside).cast("long").alias("chunk_id"), "title", text.alias("text"))
 
 
-def qa_pairs(items: DataFrame) -> DataFrame:
-    """``(question, answer, context_id)``; the answer of the last step of a decomposition goes first."""
+def qa_pairs(items: DataFrame, strip: bool = True) -> DataFrame:
+    """``(question, answer, context_id)``; the answer of the last step of a decomposition goes first.  Answers are trimmed if ``strip``."""
     answer = F.col("answer")
     if "question_decomposition" in items.columns:
         answer = F.coalesce(F.try_element_at("question_decomposition", F.lit(-1))["answer"], answer)
-    return items.select("question", F.trim(answer).alias("answer"), "context_id")
+    return items.select("question", (F.trim(answer) if strip else answer).alias("answer"), "context_id")
 
 
 def joined_answers(values: Column, longest: int = 50) -> Column:
@@ -109,3 +112,55 @@ def materialized(spark: SparkSession, path: str, compute: Callable[[], DataFrame
     if regenerate or not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
         compute().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, asked of the file system that owns it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def first_existing(spark: SparkSession, *sources: str) -> DataFrame:
+    """The first of several sources that exists: delimited text for paths that end in .csv, else Parquet."""
+    for path in sources:
+        if exists(spark, path):
+            return read_delimited(spark, path) if path.rstrip("/").endswith(".csv") else spark.read.parquet(path)
+    raise FileNotFoundError(f"none of {sources}")
+
+
+def optional(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """A delimited source that may be missing: no rows then."""
+    return read_delimited(spark, path, ddl) if exists(spark, path) else spark.createDataFrame([], ddl)
+
+
+def documents_to_rows(documents: DataFrame) -> DataFrame:
+    """``documents (page_content, metadata map or struct, ...)`` as text on one line, the metadata's columns and a chunk id of its content and place."""
+    kind = documents.schema["metadata"].dataType.typeName()
+    meta = [F.col("metadata.*")] if kind == "struct" else [F.col("metadata")]
+    text = F.translate("page_content", "\r\n", "  ")
+    return documents.select(text.alias("text"), *meta, F.md5(F.concat_ws("|", text, F.col("metadata").cast("string"))).alias("chunk_id"))
+
+
+def write_results(rows: DataFrame, path: str, order: str = "row_id") -> None:
+    """Results as delimited text in the order of their questions, in one file; ``order`` is not written."""
+    write_delimited(rows.orderBy(order).drop(order).coalesce(1), path)
+
+
+def sample(rows: DataFrame, n: int, order: str, last: bool = False) -> DataFrame:
+    """The first (or last) ``n`` rows by a column, in its order."""
+    return rows.orderBy(F.desc(order) if last else F.asc(order)).limit(n).orderBy(order)
+
+
+def write_model(spark: SparkSession, weights: dict, path: str) -> None:
+    """Weight arrays (name to numbers or nested lists of them) as one Parquet row an array."""
+    import numpy as np
+
+    rows = [(name, list(np.shape(w)), np.asarray(w, dtype=float).ravel().tolist()) for name, w in weights.items()]
+    spark.createDataFrame(rows, "name string, shape array<int>, values array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_model(spark: SparkSession, path: str) -> dict:
+    """What :func:`write_model` wrote, as arrays."""
+    import numpy as np
+
+    return {r["name"]: np.array(r["values"]).reshape(r["shape"]) for r in spark.read.parquet(path).collect()}

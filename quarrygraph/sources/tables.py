@@ -1,10 +1,14 @@
-"""Readers for the engine's own tables and the shared checkpoint folder."""
+"""Readers for the engine's own tables, the shared checkpoint folder and size-checked broadcasts."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a written table that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,11 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; a temporary folder only where none is set."""
+    """Use the cluster's ``spark.checkpoint.dir``; a temporary folder only in local mode, where none is set."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quarrygraph-"))
 
 
@@ -25,3 +31,8 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def bounded(written: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``written`` (a read or :func:`cut` table, as it is counted) to be broadcast if it has at most ``rows`` rows, else as it is."""
+    return F.broadcast(written) if written.limit(rows + 1).count() <= rows else written
