@@ -124,6 +124,8 @@ class _Run:
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Even buckets of anchor grams, whose hashes are the least of their windows and so are mixed again."""
+    hashes = _mix(hashes * np.uint64(0x9E3779B97F4A7C15))
     return (((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
@@ -357,8 +359,10 @@ class SuffixDedup:
             kinds = np.add.reduceat(other.astype(np.int64), at) if len(at) else _NONE
             times = np.diff(np.append(at, len(grams)))
             marks = (np.minimum(kinds, 0x7FFF) | np.where(times > 1, 0x8000, 0)).astype("<u2")
-            grams = grams[at]
-            return _dealt(key[0].as_py(), _bucket(grams, runs), lambda i: (grams[i].tobytes(), marks[i].tobytes()))
+            bucket = _bucket(grams[at], runs)
+            order = np.argsort(bucket, kind="stable")
+            grams, marks = grams[at][order], marks[order]
+            return _dealt(key[0].as_py(), bucket[order], lambda i: (grams[i].tobytes(), marks[i].tobytes()))
 
         def repeated(key: tuple, table: pa.Table) -> pa.Table:
             """The grams of a bucket that come twice in the corpus, back to the runs that have them."""
