@@ -131,4 +131,4 @@ def filter_urls(df: DataFrame, rules: Sequence[Rule] = RULES + PATTERNS, default
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(table(spark, sf_dir, "pages"))
+    return filter_urls(table(spark, sf_dir, "pages")).drop("n_candidates")
