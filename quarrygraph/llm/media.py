@@ -203,11 +203,14 @@ PARSED_DDL = "struct<payload: binary, streams: map<int,int>, packets: int, lost:
 
 
 def with_parsed(df: DataFrame, media: str, out: str = "parsed") -> DataFrame:
-    """Add what the transport stream in ``media`` holds: payload of all streams in order of PID, tables, faults and access points."""
+    """Add what the transport stream in ``media`` holds: payload of all streams in order of PID, tables, faults and access points.
+
+    A null stream holds nothing; damage is counted, never raised; an existing ``out`` is replaced.
+    """
     import pandas as pd
 
     @F.pandas_udf(PARSED_DDL)
-    def parse(values: pd.Series) -> pd.DataFrame:
+    def parse(values):  # a series of streams to a frame of what they hold
         rows = [demux(v or b"") for v in values]
         return pd.DataFrame(
             {

@@ -306,3 +306,249 @@ def test_suffix_groups_of_many(spark):
     for sizes in ({"run_bytes": 2000}, {"run_bytes": 1 << 20}):
         assert sorted(tuple(r) for r in suffix_dedup.removal_report(make(spark, rows), **sizes).collect()) == brute_removed(rows)
     assert suffix_dedup.removal_report(make(spark, [])).count() == 0
+
+
+def test_decontamination_recall_of_planted_pairs(spark):
+    """16 of 20 tokens equal, at random places: all found, through the broadcast and through the shuffle."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    items = {n: [word() for _ in range(20)] for n in range(220)}
+    docs = []
+    for n, item in items.items():
+        changed = list(item)
+        for at in rng.sample(range(20), 4 if n % 2 else 5):
+            changed[at] = "zzz"
+        docs.append((n, " ".join([word() for _ in range(rng.randint(0, 9))] + changed + [word() for _ in range(3)])))
+    bench = spark.createDataFrame([(n, " ".join(item)) for n, item in items.items()], "item_id long, text string")
+    for limit in (1_000_000, 0):
+        found = {(r.doc_id, r.item_id, r.n_matched) for r in decontaminate.find_leaks(make(spark, docs), bench, broadcast_rows=limit).collect()}
+        assert found == {(n, n, 16) for n in items if n % 2}
+
+
+def test_masks_lose_nothing():
+    import itertools
+
+    for run, k in ((5, 1), (10, 2), (15, 3)):
+        masks = decontaminate.spaced_masks(run, k)
+        assert any(m[-1] + 1 > len(m) for m in masks)  # some position is ignored
+        for gone in itertools.combinations(range(run), k):
+            assert any(not {s + p for p in m} & set(gone) for m in masks for s in range(run - m[-1]))
+
+
+def test_decontamination_rows(spark):
+    """Null and repeated ids, a token repeated thousands of times, an empty table on either side."""
+    import time
+
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    half = "one two three four five six"
+    docs = [(None, "x " + item), (5, half), (5, "seven eight nine ten eleven twelve"), (5, None), (6, item), (6, item), (7, "la " * 12_000)]
+    bench = spark.createDataFrame([(1, item), (2, "la la la la"), (None, "unasked")], "item_id long, text string")
+    began = time.time()
+    found = {(r.doc_id, r.item_id): r.doc_start for r in decontaminate.find_leaks(make(spark, docs), bench).collect()}
+    assert found == {(None, 1): 1, (6, 1): 0, (7, 2): 0} and time.time() - began < 60
+    assert decontaminate.find_leaks(make(spark, []), bench).count() == decontaminate.find_leaks(make(spark, docs), bench.limit(0)).count() == 0
+
+
+def test_decontamination_stage(spark, tmp_path):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(1, "so " + item, 0.1), (1, "a clean text", 0.2), (None, item, 0.3), (None, "clean too", 0.4), (2, None, 0.5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest double")
+    got = decontaminate.drop_leaks(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns and sorted(r.digest for r in got.collect()) == [0.2, 0.4, 0.5]
+
+
+def test_language_of_long_texts_and_clashing_columns(spark):
+    rng = random.Random(14)
+    lexicon = {"aa": ["karu", "miro", "tavo"], "bb": ["schlund", "grüße", "wert"]}
+    size = {"aa": 30, "bb": 6000}  # every text of bb is longer than what is learned of one
+    docs = [(i, " ".join(rng.choice(lexicon[k]) for _ in range(size[k])), k, i / 7) for i in range(60) for k in [("aa", "bb")[i % 2]]] + [(None, "karu miro", "aa", 0.5), (61, "", "bb", 0.25), (62, None, None, 0.125)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, score double")
+    got = {r.doc_id: r for r in language_id.add_language(df, language_id.learn(df), names=("a", "b", "c")).collect()}
+    assert all(got[i].a == k and got[i].score == s for i, _, k, s in docs if i is not None and i < 60) and got[61].a == got[62].a == "und"
+    kept = language_id.keep_known_languages(spark, df, "")
+    assert kept.columns == df.columns and {r.doc_id: r.score for r in kept.collect()} == {i: s for i, _, _, s in docs if i not in (61, 62)}
+    assert language_id.keep_known_languages(spark, df.limit(0), "").count() == 0
+
+
+def test_prediction_by_partial_matching_by_hand():
+    """Code lengths of another coder: escape method C with exclusion, contexts of three bytes down to none."""
+    from collections import Counter
+    from math import log2
+
+    texts = {"x": [b"abracadabra abra"], "y": [b"hocus pocus"]}
+    coder = language_id.Coder(language_id.fit(texts))
+    for j, name in enumerate(sorted(texts)):
+        seen = Counter()
+        for text in texts[name]:
+            padded = b"   " + text
+            for i in range(3, len(padded)):
+                for d in range(4):
+                    seen[padded[i - d : i], padded[i]] += 1
+        for data in (b"abra", b"pocus abz", b"\xff"):
+            bits, padded = 0.0, b"   " + data
+            for i in range(3, len(padded)):
+                open_ = set(range(256))
+                for d in (3, 2, 1, 0):
+                    counts = {b: seen[padded[i - d : i], b] for b in open_ if seen[padded[i - d : i], b]}
+                    if not counts:
+                        continue
+                    escape = len(counts) if len(counts) < len(open_) else 0
+                    if padded[i] in counts:
+                        bits += log2(sum(counts.values()) + escape) - log2(counts[padded[i]])
+                        break
+                    bits += log2(sum(counts.values()) + escape) - log2(escape)
+                    open_ -= set(counts)
+                else:
+                    bits += log2(len(open_))
+            assert abs(coder.cost(data)[j] - bits) < 1e-3 * max(1, bits)
+
+
+def test_ordinal_fit():
+    """At the fit, no weight or cut moves the penalised likelihood down; grades come from the other half only."""
+    rng = random.Random(4)
+    rows = [[w for w in range(6) if rng.random() < 0.4] for _ in range(300)]
+    grades = [min(3, max(0, len(r) - 2 + rng.randint(-1, 1))) for r in rows]
+    model = toxicity.fit(rows, grades, [f"w{i}" for i in range(6)], ridge=0.001, steps=4000)
+    assert list(model.cuts) == sorted(model.cuts) and len(model.cuts) == 3
+    loss = lambda m: toxicity.negative_log_likelihood(m, rows, grades, [1.0] * 300) + 0.0005 * sum(w * w for w in m.weights)
+    best = loss(model)
+    for i in range(6):
+        for step in (-0.05, 0.05):
+            moved = [w + step * (i == k) for k, w in enumerate(model.weights)]
+            assert loss(toxicity.Model(model.words, tuple(moved), model.cuts)) > best - 1e-6
+    for i in range(3):
+        for step in (-0.05, 0.05):
+            assert loss(toxicity.Model(model.words, model.weights, tuple(c + step * (i == k) for k, c in enumerate(model.cuts)))) > best - 1e-6
+    weighted = toxicity.fit(rows + rows, grades + grades, list(model.words), ridge=0.001, steps=500)
+    half = toxicity.fit(rows, grades, list(model.words), ridge=0.001, steps=500, weights=[2.0] * 300)
+    assert np.allclose(weighted.weights, half.weights)
+    held, y = [[0], [0], [1], [1], [0, 1], []], [1, 1, 1, 0, 1, 0]
+    first = toxicity.grade(held, y, 2, [0, 1, 0, 1, 0, 1])
+    assert [g == 0 for g in first] == [label == 0 for label in y] and set(first) <= {0, 1, 2, 3}
+
+
+def test_toxicity_rows(spark):
+    """Null, empty and very long texts, repeated rows, labels that are null, repeated or without document; words by one tokeniser."""
+    docs = [(i, f"you awful½word here {'so' * i}" if i % 3 == 0 else f"a fine day {i}") for i in range(120)] + [(500, None), (501, ""), (502, "fine " * 300_000), (503, "YOU AWFUL Word, here"), (503, "YOU AWFUL Word, here"), (None, "awful")]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)] + [(0, 0), (7, None), (9999, 1), (None, 1)], "doc_id long, toxic int")
+    df = make(spark, docs)
+    got = toxicity.score(df, toxicity.learn(df, labels)).collect()
+    assert len(got) == len(docs) and all(r.toxic == (r.doc_id % 3 == 0) == (r.grade > 0) for r in got if r.doc_id is not None and r.doc_id < 120)
+    assert [r.toxic for r in got if r.doc_id == 503] == [True, True] and not any(r.toxic for r in got if r.doc_id in (500, 501, 502))
+    assert toxicity.score(df.limit(0), toxicity.Model((), (), ())).count() == 0
+    assert "awful" in toxicity.features("Awful½") and "½" not in "".join(toxicity.features("Awful½"))
+
+
+def test_media_column(spark):
+    rows = spark.createDataFrame([(1, "plain text"), (2, None), (3, ""), (4, "ü" * 70_000)], "id long, t string")
+    got = {r.id: (r.media, r.parsed) for r in media.with_parsed(media.with_media(rows, "t"), "media").collect()}
+    assert got[2][0] is None and bytes(got[1][1]["payload"]) == b"plain text" and bytes(got[4][1]["payload"]).decode() == "ü" * 70_000
+    assert [a["pts"] for a in got[4][1]["access"]] == [0, 3600, 7200] and all(a["random"] for a in got[4][1]["access"]) and got[4][1]["streams"] == {0x100: 6} and got[4][1]["lost"] == got[4][1]["damaged"] == 0
+    assert media.media_digest(make(spark, [])).count() == 0
+
+
+def test_matrices_as_files(spark, rows, tmp_path):
+    made = token_output.packed_matrices(make(spark, rows), capacity=128)
+    token_output.write_matrices(made, str(tmp_path / "m"))
+    back = spark.read.parquet(str(tmp_path / "m"))
+    assert back.count() == made.count() and {bytes(r.input_ids) for r in back.collect()} == {bytes(r.input_ids) for r in made.collect()}
+    assert all(len(r.input_ids) == 256 for r in back.collect())
+    wide = token_output.packed_matrices(make(spark, rows[:9]), capacity=64, id_bytes=4).collect()
+    assert all(len(r.input_ids) == 256 for r in wide)
+    with pytest.raises(Exception, match="does not fit"):
+        token_output.packed_matrices(make(spark, rows[:9]), end_id=70_000).collect()
+    assert token_output.packed_matrices(make(spark, [])).count() == 0
+
+
+def test_packing_many_groups(spark, rows):
+    got = packing.pack_documents(make(spark, rows), capacity=64, group_windows=4).collect()
+    sums = {}
+    for r in got:
+        sums[r.sequence_id] = sums.get(r.sequence_id, 0) + r.length
+    assert max(sums.values()) <= 64 and sum(sums.values()) / (64 * len(sums)) > 0.85
+    assert packing.pack_documents(make(spark, [])).count() == 0
+
+
+def test_cells_of_many_values(spark):
+    """More values than any table of known ones would hold: cells are of equal depth and in order."""
+    df = spark.createDataFrame([(i, f"v{i % 4000:05d}" if i % 50 else None, "hot" if i % 3 else f"x{i}") for i in range(12_000)], "doc_id long, a string, b string")
+    got = df.select("a", sharding._value_cell(df, "a", 4).alias("cell"), "b", sharding._value_cell(df, "b", 4).alias("other")).collect()
+    known = sorted((r.a, r.cell) for r in got if r.a is not None)
+    assert [c for _, c in known] == sorted(c for _, c in known) and {c for _, c in known} == set(range(16))
+    sizes = [sum(c == k for _, c in known) for k in range(16)]
+    assert max(sizes) < 1.3 * min(sizes) and all(r.cell == 0 for r in got if r.a is None)
+    assert len({r.other for r in got if r.b == "hot"}) == 1
+    empty = df.limit(0)
+    assert empty.select(sharding._value_cell(empty, "a", 4)).count() == 0
+
+
+def test_sharding_order_and_files(spark, rows, tmp_path):
+    """Shards follow the curve: every row of a shard lies before every row of the next."""
+    df = make(spark, [r for i, r in enumerate(rows) if i != 5])
+    sharded = sharding.hilbert_shards(df, rows_per_run=5)
+    got = sharded.collect()
+    for a in range(7):
+        ends, begins = [r.curve_index for r in got if r.shard == a], [r.curve_index for r in got if r.shard == a + 1]
+        assert not ends or not begins or max(ends) <= min(begins)
+    sharding.write_shards(df.drop("run"), sharded, str(tmp_path / "s"))
+    assert spark.read.parquet(str(tmp_path / "s")).count() == len(got)
+    with pytest.raises(ValueError, match="repeated"):
+        sharding.write_shards(make(spark, rows), sharding.hilbert_shards(make(spark, rows)), str(tmp_path / "t"))
+
+
+def test_queries_run_over_whole_tables(spark):
+    from quarrygraph.llm.queries import QUERIES as found
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    got = {name: f(spark, sf).collect() for name, f in found.items()}
+    assert sorted(tuple(r)[:5] for r in got["op1_suffix_dedup"]) == brute_removed(texts)
+    for name in ("op2_toxicity", "op4_media", "op6_language_id", "op7_simhash", "op10_sharding"):
+        assert sorted(r.doc_id for r in got[name]) == sorted(i for i, _ in texts)
+    assert {i for r in got["op9_token_output"] for i in r.doc_ids} == {r.doc_id for r in got["op3_packing"]} == {i for i, _ in texts}
+    assert {r.doc_id: r.held_out for r in got["op6_language_id"]} == {i: zlib.crc32(str(i).encode()) % 3 == 1 for i, _ in texts}
+    for r in got["op7_simhash"]:
+        want = simhash.fingerprint(simhash.shingle_hashes(dict(texts)[r.doc_id], 3), 64).hex()
+        assert r.fingerprint == want
+
+
+def test_pipeline(spark, tmp_path):
+    """Every stage's decision takes effect, on rows with nulls, repeats and columns named as the stages' own."""
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    words = {"en": [f"{a}{b}" for a in ("ka", "mi", "ta", "ru") for b in ("lo", "ven", "sor", "pim", "dax")], "de": [f"{a}{b}" for a in ("schl", "grü", "wa", "ob") for b in ("und", "ße", "rten", "acht", "eln")]}
+    text = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    docs = [(i, text(("en", "de")[i % 2], 120), ("en", "de")[i % 2]) for i in range(80)]
+    passage = text("en", 60)
+    item = text("en", 25)
+    docs += [(200, docs[0][1], "en"), (201, docs[0][1] + " kalo", "en"), (201, docs[0][1] + " kalo", "en")]
+    docs += [(300, text("en", 90) + " " + passage + " " + text("en", 90), "en"), (301, text("en", 90) + " " + passage + " " + text("en", 90), "en")]
+    docs += [(400, text("en", 30) + " " + item + " " + text("en", 30), "en"), (500, "12345 !!", "en"), (501, None, "de"), (502, "новые правила вступят в силу в следующем месяце сего года", None), (None, text("de", 100), None)]
+    df = spark.createDataFrame([(i, t, k, "s", len(t or ""), 0.5, 7) for i, t, k in docs], "doc_id long, text string, lang string, source string, n_chars long, score double, run int")
+    df.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept, now = {}, spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == df.columns, name
+        now.write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(str(tmp_path / name))
+        kept[name] = {r.doc_id: r.text for r in now.collect()}
+    clean = set(range(80)) | {None}
+    assert set(kept["language_id"]) == clean | {200, 201, 300, 301, 400}
+    assert set(kept["simhash_near_dedup"]) == clean | {300, 301, 400}
+    assert set(kept["suffix_dedup"]) == clean | {300, 301, 400} and passage in kept["suffix_dedup"][300] and passage[50:150] not in kept["suffix_dedup"][301]
+    assert set(kept["decontamination"]) == clean | {300, 301}
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    pieces = {}
+    for r in out:
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length, r.doc_tokens))
+    assert set(pieces) == clean | {300, 301}
+    for i, parts in pieces.items():
+        assert sum(n for _, n, _ in parts) == parts[0][2] == len(encoder(None).ids(kept["decontamination"][i])) // 4 + 1
+    df.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    spark.read.parquet(str(tmp_path / "benchmark.parquet")).write.parquet(str(tmp_path / "none" / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
