@@ -75,7 +75,7 @@ def _value_cell(df: DataFrame, column: str, bits: int) -> Column:
 
 
 def hilbert_shards(
-    df: DataFrame, shards: int = 8, text_dimensions: Sequence[str] = ("lang", "source"), bits: int = 4, rows_per_run: int = 20_000, doc_id: str = "doc_id", text: str = "text"
+    df: DataFrame, shards: int = 8, text_dimensions: Sequence[str] = ("lang", "source"), bits: int = 4, rows_per_run: int = 2_000, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """Deal rows to ``shards`` shards of near-equal bytes along a Hilbert curve.
 
