@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrygraph.functions.text import tokens
-from quarrygraph.sources.tables import bounded, cut
+from quarrygraph.sources.tables import bounded, cut, spread
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, by: Sequence[str] = ()) -> DataFrame:
@@ -19,7 +19,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
     are counted over all tokens with partial sums; postings leave a task for the queries' tokens only.
     """
     by = list(by)
-    words = docs.select(*by, "id", tokens(F.coalesce(F.col("text"), F.lit(""))).alias("words"))
+    words = spread(docs.select(*by, "id", "text"), "id").select(*by, "id", tokens(F.coalesce(F.col("text"), F.lit(""))).alias("words"))
     # One pass: each distinct token of a document, and a row without token that carries its length.  What is
     # exploded is a column by then: an expression beside it would be evaluated again for every row.
     marked = words.select(*by, F.size("words").cast("long").alias("dl"), F.array_append(F.array_distinct("words"), F.lit(None).cast("string")).alias("kinds"))
@@ -55,7 +55,7 @@ def containment(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     inner = F.slice(tokens(F.col("phrase")), 2, F.greatest(F.lit(0), F.size(tokens(F.col("phrase"))) - 2))
     longest = F.reduce(inner, F.lit(""), lambda best, t: F.when(F.length(t) > F.length(best), t).otherwise(best))
     keyed = cut(low.withColumn("t", longest))
-    texts = docs.select("id", F.lower("text").alias("text"))
+    texts = spread(docs.select("id", "text"), "id").select("id", F.lower("text").alias("text"))
     each = texts.select("id", "text", F.array_distinct(tokens(F.col("text"))).alias("words")).select("id", "text", F.explode_outer("words").alias("t"))
     found = each.join(bounded(keyed.where("t <> ''")), "t").where(F.contains("text", "phrase")).select("id", "phrase_id")
     short = cut(keyed.where("t = ''").withColumn("t", F.substring("phrase", 1, GRAM)))

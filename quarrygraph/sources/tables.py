@@ -33,6 +33,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over all cores by a hash of ``keys``, if what it reads is too little to fill them (one file may be one row group).
+
+    Large inputs fill the cores with their own splits and are not shuffled.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df.repartition(cores, *keys) if int(str(size)) < cores * split else df
+
+
 def bounded(written: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``written`` (a read or :func:`cut` table, as it is counted) to be broadcast if it has at most ``rows`` rows, else as it is."""
     return F.broadcast(written) if written.limit(rows + 1).count() <= rows else written
