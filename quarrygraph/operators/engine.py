@@ -41,18 +41,19 @@ def fallback(questions: DataFrame, chunks: DataFrame, active: DataFrame, widen:
     had none; without ``widen`` it reads none.
     """
     texts = chunks.select(F.col("chunk_id").cast("long").alias("id"), F.col("context_id").cast("string").alias("context_id"), "text", "embedding")
-    inside = texts.join(active.select("query_id", F.col("context_id").cast("string").alias("context_id")).distinct(), "context_id").select("query_id", "id", "text", "embedding")
-    rest = questions.select("query_id").join(inside.select("query_id").distinct(), "query_id", "left_anti")
-    pool = inside
+    inside = cut(texts.join(active.select("query_id", F.col("context_id").cast("string").alias("context_id")).distinct(), "context_id").select("query_id", "id", "text", "embedding"))
+    similar = F.coalesce(retrieval.cosine(F.col("embedding"), F.col("q"), retrieval.EPSILON), F.lit(-1.0)).alias("score")
+    asked = questions.select(F.col("query_id").alias("corpus"), "query_id", "text")
+    lex = bm25(inside.select(F.col("query_id").alias("corpus"), "id", "text"), asked, by=["corpus"]).select("query_id", "id", "score")
+    dense = inside.join(questions.select("query_id", "q"), "query_id").select("query_id", "id", similar)
     if widen:
-        none = rest.join(active.select("query_id").distinct().withColumn("had", F.lit(True)), "query_id", "left")
-        everything = none.crossJoin(texts)  # a stated question set against all chunks
-        pool = inside.unionByName(everything.select("query_id", "id", "text", F.when(F.col("had").isNull(), F.col("embedding")).alias("embedding")))
-    pool = cut(pool)
-    own = pool.select(F.col("query_id").alias("corpus"), "id", "text")
-    lex = bm25(own, questions.select(F.col("query_id").alias("corpus"), "query_id", "text"), by=["corpus"]).select("query_id", "id", "score")
-    near = pool.join(questions.select("query_id", "q"), "query_id")
-    dense = near.select("query_id", "id", F.coalesce(retrieval.cosine(F.col("embedding"), F.col("q"), retrieval.EPSILON), F.lit(-1.0)).alias("score"))
+        rest = cut(questions.select("query_id", "text", "q").join(inside.select("query_id").distinct(), "query_id", "left_anti"))
+        if not rest.isEmpty():
+            # A stated question set against all chunks: ids and scores only.
+            had = rest.join(active.select("query_id").distinct().withColumn("had", F.lit(True)), "query_id", "left")
+            own = had.select("query_id", F.when(F.col("had").isNull(), F.col("q")).alias("q"))
+            lex = lex.unionByName(bm25(texts.select("id", "text"), rest.select("query_id", "text")))
+            dense = dense.unionByName(own.crossJoin(texts.select("id", "embedding")).select("query_id", "id", similar))
     return retrieval.fallback_rank(lex, dense, k).withColumnRenamed("id", "chunk_id")
 
 

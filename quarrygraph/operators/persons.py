@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrygraph.functions.text import clean_entity, generation
+from quarrygraph.sources.tables import cut
+
+#: Leading characters of a name that name its candidates.
+GRAM = 6
 
 
 def generations_apart(a, b):
@@ -18,16 +22,29 @@ def merge_persons(entities: DataFrame, category: str = "Person", empty_names_mat
 
     Within a context, two persons of different standards meet if one cleaned name lies inside the
     other and they are not equal; both take the longer name (on a tie the later one's).  The last
-    pair in order of appearance decides.  Pairs meet inside a context only, by containment; a
-    context is one item's entities, so its pairs stay few.  Names that are empty once cleaned
-    match nothing unless ``empty_names_match``.
+    pair in order of appearance decides.  Candidates are names that hold another's first characters
+    (up to ``GRAM``), by an equi-join, so a large context is no product of its names.  Names that are empty
+    once cleaned match nothing unless ``empty_names_match``, which pairs them with all of their context.
     """
     people = entities.where(F.col("category") == category).select("context_id", "ord", "entity", "standard", clean_entity(F.col("entity")).alias("c"))
     if not empty_names_match:
         people = people.where("c <> ''")
-    a = people.withColumnsRenamed({"ord": "i", "entity": "ea", "standard": "sa", "c": "ca"})
-    b = people.withColumnsRenamed({"ord": "j", "entity": "eb", "standard": "sb", "c": "cb"})
-    pairs = a.join(b, "context_id").where("i < j AND ca <> cb AND sa <> sb").where(F.contains("ca", "cb") | F.contains("cb", "ca"))
+    people = cut(people)
+
+    def stretches(n: int):
+        at = F.when(F.length("c") >= n, F.sequence(F.lit(1), F.length("c") - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.substring(F.col("c"), i, F.lit(n)))
+
+    held = people.withColumn("grams", F.array_distinct(F.flatten(F.array(*map(stretches, range(1, GRAM + 1)))))).select("context_id", F.explode_outer("grams").alias("gram"), F.col("ord").alias("o2"), F.col("c").alias("c2"))
+    inner = people.where("c <> ''").select("context_id", F.substring("c", 1, GRAM).alias("gram"), F.col("ord").alias("o1"), F.col("c").alias("c1"))
+    found = inner.join(held, ["context_id", "gram"]).where("c1 <> c2").where(F.contains("c2", "c1")).select("context_id", "o1", "o2")
+    if empty_names_match:
+        empty, full = people.where("c = ''").select("context_id", F.col("ord").alias("o1")), people.where("c <> ''").select("context_id", F.col("ord").alias("o2"))
+        found = found.unionByName(empty.join(full, "context_id"))
+    met = found.select("context_id", F.least("o1", "o2").alias("i"), F.greatest("o1", "o2").alias("j"))
+    a = people.select("context_id", F.col("ord").alias("i"), F.col("entity").alias("ea"), F.col("standard").alias("sa"))
+    b = people.select("context_id", F.col("ord").alias("j"), F.col("entity").alias("eb"), F.col("standard").alias("sb"))
+    pairs = met.join(a, ["context_id", "i"]).join(b, ["context_id", "j"]).where("sa <> sb")
     longer = F.when(F.length("ea") > F.length("eb"), F.col("ea")).otherwise(F.col("eb"))
     both = pairs.select("context_id", F.struct("i", "j").alias("at"), longer.alias("new"), F.explode(F.array("i", "j")).alias("ord"))
     last = both.groupBy("context_id", "ord").agg(F.max_by("new", "at").alias("new"))
