@@ -331,3 +331,19 @@ def test_intents_and_providers(spark):
     got = {r.id: (r.result, r.status) for r in providers.map_rows(spark.range(3), lambda r: {0: "x", 1: None}[int(r["id"])], retries=2, delay=0.01).collect()}
     assert got[0] == ("x", "ok") and got[1] == (None, "empty") and got[2][1].startswith("KeyError")
     assert abs(sum(x * x for x in one(spark, providers.hashing_embedding(16)(F.lit("a b c")))) - 1) < 1e-9
+
+
+def test_mapping_of_tied_rows(spark, tmp_path):
+    """Rows that the statement's order leaves tied: one of its permitted results, the same in any order of rows."""
+    found = lambda d: sorted(map(tuple, QUERIES["mapping_left_default"](spark, str(d)).collect()))
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW orders AS SELECT * FROM '{sf}/orders.parquet'")
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{sf}/lineitem.parquet' QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey ORDER BY l_suppkey) = 1")
+    assert found(sf) == sorted(con.sql(ORACLE_SQL["mapping_left_default"]).fetchall())
+    rows = [(2, 7, 50, 99), (2, 7, 50, 77), (2, 7, 50, 100), (2, 6, 60, 1), (4, 1, 5, 8), (4, 1, 6, 9)]
+    for name, order in (("a", rows), ("b", rows[::-1]), ("c", rows[1:] + rows[:1])):
+        spark.createDataFrame(order, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").coalesce(1).write.parquet(str(tmp_path / name / "lineitem.parquet"))
+        orders = [(i, "OFP"[i % 3], "1-URGENT") for i in range(2, 7)]
+        spark.createDataFrame(orders, "o_orderkey long, o_orderstatus string, o_orderpriority string").coalesce(1).write.parquet(str(tmp_path / name / "orders.parquet"))
+        assert {r[0]: r[4:] for r in found(tmp_path / name)} == {2: ("2", -1), 3: ("77", 50), 4: ("9", 6), 5: ("4", -1), 6: ("6", -1)}
