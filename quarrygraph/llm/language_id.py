@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,12 +13,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
-from pyspark.sql.window import Window
 
 from quarrygraph.llm._frames import documents, hold, small_batches
+from quarrygraph.sources.tables import cut
 
 LETTER = re.compile(r"[^\W\d_]")
 ORDER = 3
+#: Contexts that a model keeps.
+MAX_STATES = 6000
 
 
 @dataclass(frozen=True)
@@ -34,8 +36,28 @@ class Model:
         return hashlib.sha256(repr((self.languages, self.states, [sorted(map(repr, c.items())) for c in self.counts])).encode()).hexdigest()
 
 
-def fit(samples: dict[str, list[bytes]], max_states: int = 6000) -> Model:
-    """Context trees of order 3; of all contexts the ``max_states`` most seen are kept, whole suffix chains."""
+def kept_contexts(ranked: Iterable[bytes], max_states: int) -> set[bytes]:
+    """The first ``max_states`` of contexts that come most seen first, whole suffix chains."""
+    kept: set[bytes] = {b""}
+    for context in ranked:
+        if len(kept) >= max_states:
+            break
+        kept.add(context)  # a suffix is seen at least as often, and sorts first or as early
+        while context:
+            context = context[1:]
+            kept.add(context)
+    return kept
+
+
+def _states(kept: set[bytes]) -> tuple[bytes, ...]:
+    return tuple(sorted(kept, key=lambda c: (len(c), c)))
+
+
+def fit(samples: dict[str, list[bytes]], max_states: int = MAX_STATES) -> Model:
+    """Context trees of order 3; of all contexts the ``max_states`` most seen are kept, whole suffix chains.
+
+    For texts in memory; :func:`learn` makes the same model of a table.
+    """
     languages = tuple(sorted(samples))
     counts: list[dict[bytes, dict[int, int]]] = []
     seen: Counter = Counter()
@@ -52,15 +74,8 @@ def fit(samples: dict[str, list[bytes]], max_states: int = 6000) -> Model:
         for context, node in tree.items():
             seen[context] += sum(node.values())
         counts.append(tree)
-    kept: set[bytes] = {b""}
-    for context, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0])):
-        if len(kept) >= max_states:
-            break
-        kept.add(context)  # a suffix is seen at least as often, and sorts first or as early
-        while context:
-            context = context[1:]
-            kept.add(context)
-    return Model(languages, tuple({c: n for c, n in tree.items() if c in kept} for tree in counts), tuple(sorted(kept, key=lambda c: (len(c), c))))
+    kept = kept_contexts((c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))), max_states)
+    return Model(languages, tuple({c: n for c, n in tree.items() if c in kept} for tree in counts), _states(kept))
 
 
 class Coder:
@@ -132,27 +147,71 @@ def coder(model: Model, key: str) -> Coder:
     return hold(("ppm", key), lambda: Coder(model))
 
 
-def training_sample(df: DataFrame, usable: Column, per_language: int = 250, max_chars: int = 20_000, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, list[bytes]]:
-    """Texts to learn from, for each language: ``per_language`` labelled rows chosen by a hash of the id, at most.
+#: Grams that a task holds, of its texts and of its counts, before it sums them up or hands them on.
+HELD_GRAMS = 1 << 20
+
+
+def _grams(data: bytes, block: int = 1 << 18) -> Iterator[np.ndarray]:
+    """Each byte with the three before it as one number, block by block."""
+    text = np.frombuffer(b" " * ORDER + data, dtype=np.uint8)
+    for at in range(0, len(data), block):
+        part = text[at : at + block + ORDER].astype(np.uint32)
+        yield (part[:-3] << 24) | (part[1:-2] << 16) | (part[2:-1] << 8) | part[3:]
 
-    Every labelled row may be chosen, however long; of a text over ``max_chars`` characters a stretch of
-    that many is taken, at a place that the hash names.  Both bounds are on what is learned from only.  The
-    choice is made on ids and hashes; texts are fetched for the chosen ids alone.
+
+def count_grams(df: DataFrame, usable: Column, text: str = "text", lang: str = "lang") -> DataFrame:
+    """``(lang, gram, n)``: how often each byte follows three others, over all usable labelled texts, whole.
+
+    Tasks count their own rows and their counts are summed, so no text is moved.  A language that has no
+    byte stands with an empty gram.
     """
-    rows = df.where(usable & F.col(text).isNotNull() & F.col(lang).isNotNull())
-    h = F.xxhash64(F.col(doc_id), F.lit(6))
-    ranked = rows.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), h.alias("h"))
-    first = Window.partitionBy("lang").orderBy("h", "id")
-    ids = [r["id"] for r in ranked.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).select("id").collect()]
-    if not ids:
-        return {}
-    chosen = df.sparkSession.createDataFrame([(i,) for i in ids], "id long").distinct()
-    start = F.pmod(h, F.greatest(F.lit(1), F.length(text) - max_chars + 1)).cast("int") + 1
-    picked = rows.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.substring(F.col(text), start, F.lit(max_chars)).alias("text")).join(F.broadcast(chosen), "id")
-    found: dict[str, list[bytes]] = {}
-    for r in picked.collect():
-        found.setdefault(r["lang"], []).append(r["text"].encode())
-    return {k: sorted(v) for k, v in found.items()}
+    rows = df.where(usable & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+
+    def told(language: str, grams: np.ndarray, n: np.ndarray, width: int = ORDER + 1) -> pa.RecordBatch:
+        places = pa.py_buffer(np.arange(len(n) + 1, dtype=np.int32) * width)
+        binary = pa.Array.from_buffers(pa.binary(), len(n), [None, places, pa.py_buffer(grams.astype(">u4").tobytes())])
+        return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(language, pa.string()), len(n)), binary, pa.array(n, pa.int64())], names=["lang", "gram", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing = (np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64))
+        tally: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        waiting: dict[str, list[np.ndarray]] = {}
+
+        def settle() -> None:
+            for language, parts in waiting.items():
+                new, times = np.unique(np.concatenate(parts), return_counts=True)
+                old, before = tally[language]
+                both, place = np.unique(np.concatenate([old, new]), return_inverse=True)
+                n = np.zeros(len(both), dtype=np.int64)
+                n[place[: len(old)]] += before
+                n[place[len(old) :]] += times
+                tally[language] = both, n
+            waiting.clear()
+
+        def handed() -> Iterator[pa.RecordBatch]:
+            for language, (grams, n) in tally.items():
+                for at in range(0, len(n), 100_000):
+                    yield told(language, grams[at : at + 100_000], n[at : at + 100_000])
+                tally[language] = nothing
+
+        held = 0
+        for batch in small_batches(batches):
+            for language, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                tally.setdefault(language, nothing)
+                for part in _grams(whole.encode()):
+                    waiting.setdefault(language, []).append(part)
+                    held += max(len(part), 32)  # an array of a few grams takes that much itself
+                    if held >= HELD_GRAMS:
+                        settle()
+                        held = 0
+                        if sum(len(n) for _, n in tally.values()) >= HELD_GRAMS:
+                            yield from handed()
+        settle()
+        yield from handed()
+        for language in tally:
+            yield told(language, np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64), 0)
+
+    return rows.mapInArrow(run, "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 PREDICTED = ("lang_pred", "score", "bits_per_byte")
@@ -204,9 +263,24 @@ def fold(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % 3
 
 
-def learn(df: DataFrame) -> Model:
-    """The model of the documents that are not held out (a null id has no remainder and is not learned from)."""
-    return fit(training_sample(df, F.coalesce(fold() != 1, F.lit(False))))
+def learn(df: DataFrame, max_states: int = MAX_STATES) -> Model:
+    """The model of all documents that are not held out (a null id has no remainder and is not learned from).
+
+    It is what :func:`fit` makes of all their texts.  To the driver go the most seen contexts and, for these,
+    the counts of their next bytes.
+    """
+    grams = cut(count_grams(df, F.coalesce(fold() != 1, F.lit(False))))
+    languages = tuple(sorted(r["lang"] for r in grams.select("lang").distinct().collect()))
+    contexts = F.array(*[F.substring("gram", ORDER + 1 - d, d) for d in range(ORDER + 1)])
+    nodes = grams.where("n > 0").select("lang", F.explode(contexts).alias("context"), F.substring("gram", ORDER + 1, 1).alias("byte"), "n")
+    ranked = nodes.groupBy("context").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "context").limit(max_states)
+    kept = kept_contexts([bytes(r["context"]) for r in ranked.collect()], max_states)
+    wanted = df.sparkSession.createDataFrame([(c,) for c in sorted(kept)], "context binary")
+    found = nodes.join(F.broadcast(wanted), "context").groupBy("lang", "context", "byte").agg(F.sum("n").alias("n")).toArrow()
+    counts: dict[str, dict[bytes, dict[int, int]]] = {language: {} for language in languages}
+    for language, context, byte, n in zip(*(found.column(c).to_pylist() for c in ("lang", "context", "byte", "n")), strict=True):
+        counts[language].setdefault(context, {})[byte[0]] = n
+    return Model(languages, tuple({c: dict(sorted(node.items())) for c, node in counts[k].items()} for k in languages), _states(kept))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,18 +296,58 @@ SLACK = 2.0
 FREE_BITS = 64.0
 
 
+def own_costs(df: DataFrame, model: Model) -> DataFrame:
+    """``(lang, code)`` of each held-out labelled text that the model says is of its own label.
+
+    ``code`` is the bit pattern of its bits per byte, which sorts as these do.
+    """
+    rows = df.where(F.coalesce(fold() == 1, F.lit(False)) & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "text")
+    key = model.key
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            told = zip(batch.column(0).to_pylist(), predict(model, batch.column(1).to_pylist(), key), strict=True)
+            own = [(language, bits) for language, (said, _, bits) in told if said == language]
+            codes = np.array([bits for _, bits in own], dtype=np.float64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([language for language, _ in own], pa.string()), pa.array(codes, pa.int64())], names=["lang", "code"])
+
+    return rows.mapInArrow(run, "lang string, code long")
+
+
+def percent_point(codes: DataFrame, percent: int = 99) -> dict[str, int]:
+    """The smallest code of each language that ``percent`` of its codes do not exceed, over all rows.
+
+    Found 16 bits at a time by counts, so no task holds a language's rows and the driver at most 65,536
+    counts of one.
+    """
+    written = cut(codes)
+    rank: dict[str, int] = {}
+    prefix: dict[str, int] = {}
+    for shift in (48, 32, 16, 0):
+        rows = written
+        if prefix:
+            chosen = codes.sparkSession.createDataFrame(list(prefix.items()), "lang string, prefix long")
+            rows = written.withColumn("prefix", F.shiftright("code", shift + 16)).join(F.broadcast(chosen), ["lang", "prefix"])
+        counts: dict[str, list[tuple[int, int]]] = {}
+        for r in rows.groupBy("lang", F.shiftright("code", shift).alias("at")).count().collect():
+            counts.setdefault(r["lang"], []).append((r["at"], r["count"]))
+        for language, found in counts.items():
+            left = rank.get(language) or -(-percent * sum(n for _, n in found) // 100)
+            for at, n in sorted(found):
+                if left <= n:
+                    prefix[language], rank[language] = at, left
+                    break
+                left -= n
+    return prefix
+
+
 def bounds(df: DataFrame, model: Model) -> dict[str, float]:
-    """The largest bits per byte that a text of each language may cost, from labelled texts the model has not seen.
+    """The largest bits per byte that a text of each language may cost, from all labelled texts the model has not seen.
 
     Only texts that the model says are of their own label count, so wrong labels do not loosen the
     bound.  A language without any such text has no bound.
     """
-    found = {}
-    for language, texts in training_sample(df, F.coalesce(fold() == 1, F.lit(False))).items():
-        costs = sorted(bits for said, _, bits in predict(model, [t.decode() for t in texts]) if said == language)
-        if costs:
-            found[language] = SLACK * costs[-(-99 * len(costs) // 100) - 1]
-    return found
+    return {language: SLACK * float(np.int64(code).view(np.float64)) for language, code in percent_point(own_costs(df, model)).items()}
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

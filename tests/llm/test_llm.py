@@ -552,3 +552,32 @@ def test_pipeline(spark, tmp_path):
     df.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
     spark.read.parquet(str(tmp_path / "benchmark.parquet")).write.parquet(str(tmp_path / "none" / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_language_is_learned_from_every_row(spark, monkeypatch):
+    """Counts and the 99 % point over hundreds of rows a language and whole long texts, against the same in memory."""
+    rng = random.Random(41)
+    lexicon = {"aa": ["karu", "miro", "tavo", "zé"], "bb": ["schlund", "grüße", "wert", "x"]}
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    size = lambda i: 9000 if i % 400 < 2 else rng.randint(1, 12)
+    docs = [(i, " ".join(rng.choice(lexicon[k]) for _ in range(size(i))), k) for i in range(2400) for k in [("aa", "bb")[i % 2]]]
+    docs += [(next(i for i in range(5000, 6000) if not held(i)), "", "cc"), (None, "zzzz", "aa"), (2401, None, "bb"), (2402, "qqqq", None), (docs[0][0], "karu", "aa")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(5)
+    texts = {k: [t.encode() for i, t, lang in docs if lang == k and i is not None and t is not None and not held(i)] for k in ("aa", "bb", "cc")}
+    assert min(len(texts[k]) for k in ("aa", "bb")) > 500 and max(len(t) for t in texts["aa"]) > 20_000
+    want = language_id.fit(texts)
+    model = language_id.learn(df)
+    assert (model.languages, model.states, model.counts) == (want.languages, want.states, want.counts)
+    few = language_id.fit(texts, 40)
+    got = language_id.learn(df, 40)
+    assert (got.states, got.counts) == (few.states, few.counts) and len(got.states) < len(model.states)
+    monkeypatch.setattr(language_id, "HELD_GRAMS", 300)
+    assert language_id.learn(df).counts == want.counts
+    told = {k: [] for k in ("aa", "bb")}
+    for i, t, k in docs:
+        if i is not None and t is not None and k is not None and held(i):
+            said, _, bits = language_id.predict(want, [t])[0]
+            if said == k:
+                told[k].append(bits)
+    points = {k: sorted(v)[-(-99 * len(v) // 100) - 1] for k, v in told.items()}
+    assert min(map(len, told.values())) > 250 and language_id.bounds(df, model) == {k: language_id.SLACK * v for k, v in points.items()}
