@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrygraph.functions import intent, text, vector
-from quarrygraph.operators import evaluate, graph
+from quarrygraph.operators import evaluate, graph, meetings
 from quarrygraph.operators.components import connected_components
 from quarrygraph.plans.registry import ORACLE_SQL, QUERIES
 
@@ -48,6 +48,47 @@ def test_cooccurrence(spark):
     assert sorted((r.node_1, r.node_2, r["count"]) for r in found.collect()) == [("a", "b", 6), ("a", "c", 3), ("b", "a", 6), ("c", "a", 3)]
 
 
+def test_cooccurrence_in_many_buckets_without_a_row_a_pair(spark, monkeypatch):
+    import random
+    from collections import Counter, defaultdict
+
+    monkeypatch.setattr(meetings, "BUCKET_EDGES", 40)
+    monkeypatch.setattr(meetings, "LEAST_EDGES", 1)
+    draw = random.Random(3)
+    maybe = lambda x: None if draw.random() < 0.03 else x
+    rows = [(maybe(draw.randrange(3)), maybe(draw.choice("abcdeü")), maybe(draw.choice("ABCDa")), maybe(draw.randrange(150))) for _ in range(600)]
+    count, chunks = Counter(), defaultdict(set)
+    seen = [(x, c, n) for x, p, q, c in rows for n in (p, q) if None not in (x, c, n)]
+    for x, c, n in seen:
+        for _, d, m in seen:
+            if c == d and n != m:
+                count[x, n, m] += 1
+                chunks[x, n, m].add(str(c))
+    edges = spark.createDataFrame(rows, "context_id int, node_1 string, node_2 string, chunk_id long")
+    for least in (1, 2, 9):
+        found = graph.cooccurring(edges, least)
+        assert found.schema["context_id"].dataType.simpleString() == "int"
+        got = {(r.context_id, r.node_1, r.node_2): (r["count"], r.chunk_ids) for r in found.collect()}
+        assert got == {k: (n, sorted(chunks[k])) for k, n in count.items() if n > least}
+    # Pairs meet inside tasks: a join would write a row for each to disk.
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert graph.cooccurring(edges.where("chunk_id < 0")).count() == graph.cooccurring(edges, 10**6).count() == 0
+
+
+def test_meetings_in_blocks(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    edges = pa.Table.from_pylist([{"context_id": str(i % 2), "chunk_id": str(i % 3), "node_1": f"a{i % 7}", "node_2": f"b{i}"} for i in range(60)], schema=meetings.EDGE)
+    whole = list(meetings.Met(edges).blocks())
+    monkeypatch.setattr(meetings, "HELD_PAIRS", 50)
+    parts = list(meetings.Met(edges).blocks())
+    assert len(whole) == 1 < len(parts) and all((np.concatenate([p[i] for p in parts]) == whole[0][i]).all() for i in range(3))
+    numbers = np.array([0, 0, 3, 300, 2**60], np.uint64)
+    assert (meetings.read(meetings.written(numbers)) == numbers).all() and len(meetings.read(meetings.written(numbers[:0]))) == 0
+    assert meetings._among(np.array([1, 3, 2**24 + 3], np.uint64), numbers).tolist() == [False, True, False]
+
+
 def test_token_f1(spark):
     from collections import Counter
 
