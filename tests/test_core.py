@@ -1,5 +1,7 @@
 """Operators against hand-worked results, and the registered queries against DuckDB."""
 
+import os
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from quarrygraph.functions import intent, text, vector
 from quarrygraph.operators import evaluate, graph, meetings
 from quarrygraph.operators.components import connected_components
 from quarrygraph.plans.registry import ORACLE_SQL, QUERIES
+from quarrygraph.sources.tables import ensure_checkpoint_dir
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -65,11 +68,16 @@ def test_cooccurrence_in_many_buckets_without_a_row_a_pair(spark, monkeypatch):
                 count[x, n, m] += 1
                 chunks[x, n, m].add(str(c))
     edges = spark.createDataFrame(rows, "context_id int, node_1 string, node_2 string, chunk_id long")
+    ensure_checkpoint_dir(spark)
+    folder = str(spark.sparkContext._jsc.sc().getCheckpointDir().get()).removeprefix("file:")
+    before = sum(f.startswith("stored-") for f in os.listdir(folder))
     for least in (1, 2, 9):
         found = graph.cooccurring(edges, least)
         assert found.schema["context_id"].dataType.simpleString() == "int"
         got = {(r.context_id, r.node_1, r.node_2): (r["count"], r.chunk_ids) for r in found.collect()}
         assert got == {k: (n, sorted(chunks[k])) for k, n in count.items() if n > least}
+    # Each result is one table; what led to it is removed.
+    assert sum(f.startswith("stored-") for f in os.listdir(folder)) - before == 3
     # Pairs meet inside tasks: a join would write a row for each to disk.
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
     assert graph.cooccurring(edges.where("chunk_id < 0")).count() == graph.cooccurring(edges, 10**6).count() == 0
