@@ -97,6 +97,32 @@ def test_meetings_in_blocks(monkeypatch):
     assert meetings._among(np.array([1, 3, 2**24 + 3], np.uint64), numbers).tolist() == [False, True, False]
 
 
+def test_best_scores_stream_items_past_the_questions(spark, monkeypatch):
+    import random
+    from collections import defaultdict
+
+    from quarrygraph.operators import dense, retrieval
+
+    monkeypatch.setattr(dense, "BLOCK_QUERIES", 3)
+    draw = random.Random(5)
+    vectors = [[draw.gauss(0, 1) for _ in range(4)] for _ in range(12)] + [None, [0.0] * 4, [1.0, None, 0.0, 0.0]]
+    items = spark.createDataFrame([(i, f"c{i % 3}", draw.choice(vectors), draw.choice(vectors)) for i in range(90)], "chunk_id long, context_id string, embedding array<double>, title_embedding array<double>")
+    queries = spark.createDataFrame([(q, vectors[q]) for q in range(5)] + [(9, None)], "query_id long, q array<double>")
+    asked = spark.createDataFrame([(q, f"c{c}") for q in (0, 1, 2, 3, 4, 9) for c in range(4) if (q + c) % 4], "query_id long, context_id string")
+    signals = (("embedding", 0.7), ("title_embedding", 0.3))
+    got = defaultdict(list)
+    found = dense.best_scores(asked, items, queries, 5, signals, 1e-9)
+    for r in found.collect():
+        got[r.query_id, r.context_id].append(r.score)
+    score = retrieval.chunk_score(F.col("embedding"), F.col("title_embedding"), F.col("q"), 0.3, True)
+    want = defaultdict(list)
+    for r in asked.join(items, "context_id").join(queries, "query_id").select("query_id", "context_id", score.alias("score")).collect():
+        want[r.query_id, r.context_id].append(r.score)
+    last_null = lambda x: (x is None, -(x or 0))
+    assert len(want) > 10 and {k: sorted(v, key=last_null) for k, v in got.items()} == {k: sorted(v, key=last_null)[:5] for k, v in want.items()}
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_token_f1(spark):
     from collections import Counter
 
