@@ -371,6 +371,22 @@ def test_persons(spark):
     assert one(spark, generations_apart(F.lit("A Jr."), F.lit("A Sr"))) and not one(spark, generations_apart(F.lit("A Jr."), F.lit("A")))
 
 
+def test_persons_with_a_common_beginning_do_not_all_meet(spark):
+    from quarrygraph.operators.persons import candidates, merge_persons
+
+    n = 30_000
+    k = F.col("id")
+    name = F.concat(F.lit("Personage "), F.lpad(k.cast("string"), 7, "0"), F.when(k % 10_000 == 7, " Lee Junior the Second of his Name").otherwise(""))
+    long = spark.range(n).select(F.lit("0").alias("context_id"), k.alias("ord"), name.alias("entity"), F.lit("Person").alias("category"), name.alias("standard"))
+    more = spark.createDataFrame([("0", n, "Lee Junior the Second", "Person", "Lee Junior the Second"), ("0", n + 1, "0029999", "Person", "0029999"), ("0", n + 2, "é", "Person", "é")], long.schema)
+    got = {r.ord: r.standard for r in merge_persons(long.unionByName(more)).collect()}
+    changed = {i: s for i, s in got.items() if s not in (f"Personage {i:07d}", f"Personage {i:07d} Lee Junior the Second of his Name")}
+    assert changed == {n: "Personage 0020007 Lee Junior the Second of his Name", n + 1: "Personage 0029999", n + 2: "é"}
+    # All pairs of the names are 900 million.
+    people = long.select("context_id", "ord", text.clean_entity(F.col("entity")).alias("c"))
+    assert candidates(people).count() < 20 * n
+
+
 def test_retrieval(spark):
     from quarrygraph.operators import retrieval
 
