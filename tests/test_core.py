@@ -123,6 +123,13 @@ def test_best_scores_stream_items_past_the_questions(spark, monkeypatch):
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["definition_chunks", "evidence"])
+def test_vectors_of_chunks_are_not_shuffled(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(chunk_id" in line or "Exchange hashpartitioning(u#" in line and "v#" not in line]
+    assert not dealt
+
+
 def test_token_f1(spark):
     from collections import Counter
 
