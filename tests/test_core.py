@@ -97,6 +97,37 @@ def test_meetings_in_blocks(monkeypatch):
     assert meetings._among(np.array([1, 3, 2**24 + 3], np.uint64), numbers).tolist() == [False, True, False]
 
 
+def test_meetings_in_turns(spark, monkeypatch):
+    import random
+
+    draw = random.Random(4)
+    rows = [(draw.randrange(3), draw.choice("abcdef"), draw.choice("ABCD"), draw.randrange(60)) for _ in range(400)]
+    edges = spark.createDataFrame(rows, "context_id int, node_1 string, node_2 string, chunk_id long")
+    whole = {tuple(map(str, r)) for r in graph.cooccurring(edges).collect()}
+    monkeypatch.setattr(meetings, "TURN_EDGES", 100)
+    monkeypatch.setattr(meetings, "TURNS", 3)
+    monkeypatch.setattr(meetings, "BUCKET_EDGES", 50)
+    turns = []
+    monkeypatch.setattr(meetings, "in_turn", lambda parts, plain=meetings.in_turn: plain(turns.append(p) or p for p in parts))
+    assert {tuple(map(str, r)) for r in graph.cooccurring(edges).collect()} == whole and len(whole) > 50 and len(turns) == 3
+
+
+def test_edges_are_stored_in_few_bytes():
+    import random
+
+    import pyarrow as pa
+
+    draw = random.Random(6)
+    rows = [{"context_id": draw.choice("ARN"), "chunk_id": str(draw.randrange(5_000)), "node_1": f"P{draw.randrange(1_000_000)}", "node_2": f"S{draw.randrange(60_000)}"} for _ in range(20_000)]
+    edges = pa.Table.from_pylist(rows, schema=meetings.EDGE).sort_by("chunk_id").combine_chunks()
+    blob = meetings._blob(edges)
+    # The digits' own content is near 5 bytes an edge; offsets of four bytes a value took it to 17.
+    assert len(blob) < 8 * len(rows) and meetings._rows([blob], meetings.EDGE).equals(edges)
+    odd = pa.Table.from_pylist([dict(zip(meetings.EDGE.names, r, strict=True)) for r in [("a", "1", None, "é"), ("a", "1", None, ""), ("b", None, "q", "z")] + [(None,) * 4] * 3], schema=meetings.EDGE)
+    for some in (odd, odd.slice(1, 2), odd.slice(3), odd.slice(0, 0)):
+        assert meetings._rows([meetings._blob(some)], meetings.EDGE).to_pylist() == some.to_pylist()
+
+
 def test_best_scores_stream_items_past_the_questions(spark, monkeypatch):
     import random
     from collections import defaultdict
