@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrygraph.functions import intent, text, vector
-from quarrygraph.operators import evaluate, graph, meetings
+from quarrygraph.operators import evaluate, graph, meetings, pairs
 from quarrygraph.operators.components import connected_components
 from quarrygraph.plans.registry import ORACLE_SQL, QUERIES
 from quarrygraph.sources.tables import ensure_checkpoint_dir
@@ -122,10 +122,10 @@ def test_edges_are_stored_in_few_bytes():
     edges = pa.Table.from_pylist(rows, schema=meetings.EDGE).sort_by("chunk_id").combine_chunks()
     blob = meetings._blob(edges)
     # The digits' own content is near 5 bytes an edge; offsets of four bytes a value took it to 17.
-    assert len(blob) < 8 * len(rows) and meetings._rows([blob], meetings.EDGE).equals(edges)
+    assert len(blob) < 8 * len(rows) and meetings.unpacked([blob], meetings.EDGE).equals(edges)
     odd = pa.Table.from_pylist([dict(zip(meetings.EDGE.names, r, strict=True)) for r in [("a", "1", None, "é"), ("a", "1", None, ""), ("b", None, "q", "z")] + [(None,) * 4] * 3], schema=meetings.EDGE)
     for some in (odd, odd.slice(1, 2), odd.slice(3), odd.slice(0, 0)):
-        assert meetings._rows([meetings._blob(some)], meetings.EDGE).to_pylist() == some.to_pylist()
+        assert meetings.unpacked([meetings._blob(some)], meetings.EDGE).to_pylist() == some.to_pylist()
 
 
 def test_best_scores_stream_items_past_the_questions(spark, monkeypatch):
@@ -186,6 +186,31 @@ def test_hybrid_edges(spark):
     assert got[("c", "c")][2:] == ("self", None, True) and got[("b", "d")][2:] == ("co-occurs with", 0.25, False)
 
 
+def test_context_edges_are_the_hybrid_edges_of_a_context(spark, monkeypatch):
+    import random
+
+    draw = random.Random(8)
+    maybe = lambda x: None if draw.random() < 0.05 else x
+    node = lambda: maybe(draw.choice("abcdeü"))
+    e = spark.createDataFrame([(node(), node(), maybe(draw.choice("xy")), n, "r", n) for n in range(60)], "node_1 string, node_2 string, context_id string, chunk_id long, edge string, ord long")
+    i = spark.createDataFrame([(node(), draw.choice("defg"), draw.choice("xyz"), "7", maybe(draw.random())) for _ in range(60)], "node_1 string, node_2 string, context_id string, chunk_id string, implicit_score double")
+    monkeypatch.setattr(pairs, "BUCKET_PAIRS", 20)
+    for context in ("x", "z", "-1", "none"):
+        both = graph.adjacency(graph.hybrid_edges(e, i).where(F.array_contains("context_ids", context))).select("u", "v", "is_explicit", "implicit_score")
+        got = pairs.context_adjacency(e, i, context)
+        assert got.schema.simpleString() == both.schema.simpleString()
+        order = lambda rows: sorted(map(tuple, rows), key=str)
+        assert order(got.collect()) == order(both.collect()) and (context == "none") == (not got.count())
+    empty = pairs.context_adjacency(e.limit(0), i.limit(0), "x")
+    assert empty.count() == 0
+
+
+def test_expanding_shuffles_no_row_an_edge(spark):
+    plan = QUERIES["expand_neighbors"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(u#" in line and "v#" in line.split("Exchange")[1]]
+    assert plan.count("MapInArrow") == 1
+
+
 def test_containment_and_links(spark):
     import random
 
